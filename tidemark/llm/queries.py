@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, media
+from . import bpe, brown, langid, media
 
 
 def documents(spark, sf_dir):
@@ -16,13 +16,21 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op2_brown(spark, sf_dir):
+    return brown.score_documents(documents(spark, sf_dir))
+
+
 def op3_bpe(spark, sf_dir):
     return bpe.digests(documents(spark, sf_dir), *tokenizer())
 
 
+def op4_langid(spark, sf_dir):
+    return langid.identify_documents(documents(spark, sf_dir))
+
+
 def op10_media(spark, sf_dir):
     return media.stored_texts(documents(spark, sf_dir))
 
 
-QUERIES = {"op3_bpe": op3_bpe, "op10_media": op10_media}
+QUERIES = {"op2_brown": op2_brown, "op3_bpe": op3_bpe, "op4_langid": op4_langid, "op10_media": op10_media}
 ORACLE_SQL: dict[str, str] = {}
