@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, brown, langid, media
+from . import bpe, brown, langid, media, quality, toxicity
 
 
 def documents(spark, sf_dir):
@@ -28,9 +28,21 @@ def op4_langid(spark, sf_dir):
     return langid.identify_documents(documents(spark, sf_dir))
 
 
+def labels(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op6_toxicity(spark, sf_dir):
+    return toxicity.score_documents(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op9_quality(spark, sf_dir):
+    return quality.score_documents(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op10_media(spark, sf_dir):
     return media.stored_texts(documents(spark, sf_dir))
 
 
-QUERIES = {"op2_brown": op2_brown, "op3_bpe": op3_bpe, "op4_langid": op4_langid, "op10_media": op10_media}
+QUERIES = {"op2_brown": op2_brown, "op3_bpe": op3_bpe, "op4_langid": op4_langid, "op6_toxicity": op6_toxicity, "op9_quality": op9_quality, "op10_media": op10_media}
 ORACLE_SQL: dict[str, str] = {}
