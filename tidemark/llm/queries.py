@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, brown, langid, media, quality, toxicity
+from . import bpe, brown, decontaminate, langid, media, quality, setjoin, toxicity
 
 
 def documents(spark, sf_dir):
@@ -16,6 +16,14 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def benchmark(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
+def op1_decontaminate(spark, sf_dir):
+    return decontaminate.search(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
 def op2_brown(spark, sf_dir):
     return brown.score_documents(documents(spark, sf_dir))
 
@@ -40,9 +48,13 @@ def op9_quality(spark, sf_dir):
     return quality.score_documents(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op5_license(spark, sf_dir):
+    return setjoin.license_labels(documents(spark, sf_dir))
+
+
 def op10_media(spark, sf_dir):
     return media.stored_texts(documents(spark, sf_dir))
 
 
-QUERIES = {"op2_brown": op2_brown, "op3_bpe": op3_bpe, "op4_langid": op4_langid, "op6_toxicity": op6_toxicity, "op9_quality": op9_quality, "op10_media": op10_media}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_brown, op3_bpe, op4_langid, op5_license, op6_toxicity, op9_quality, op10_media)}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": decontaminate.oracle(), "op5_license": setjoin.oracle()}

@@ -9,7 +9,10 @@ Documents are labelled, tokens are not.  The tokens to learn from are labelled
 first: greedily take the word or word prefix that occurs in the most toxic sample
 documents not yet explained and (almost) never in clean ones.  Copies of one toxic
 document do not make all of its words toxic, because one such word explains them
-all.  The field is then fitted to these token labels.
+all.  A word that only stands beside already explained ones is added when it follows
+so many different words (copies do not add any) that chance would put it into toxic
+documents alone with a probability below ``CHANCE``.  The field is then fitted to
+these token labels.
 
 Fitting uses a bounded sample: at most ``SAMPLE`` labelled rows a class with texts of
 at most ``SAMPLE_BYTES``, taken in order of a hash of id and text.  Scoring reads
@@ -40,7 +43,10 @@ SAMPLE_BYTES = 1 << 16
 BITS = 18
 PREFIXES = (3, 4, 5, 6)
 RUN = 256
-STEPS = 80
+STEPS = 40
+#: Largest probability of meeting a word by chance in toxic documents only.
+CHANCE = 1e-6
+CLEAN_COST = 3
 
 
 def _tokens(texts: pa.Array) -> textkit.Words:
@@ -153,6 +159,9 @@ class Field:
 def label_tokens(w: textkit.Words, toxic: np.ndarray) -> np.ndarray:
     """Token labels explained from document labels; see the module's text."""
     keys = [w.hash, *_affixes(w)[1:-1]]
+    before = np.append(U64(0), w.hash[:-1])
+    rate = np.log(max(1, toxic.sum()) / max(2, len(toxic)))
+    chosen: list[int] = []
     counts: dict[int, int] = {}
     member: dict[int, np.ndarray] = {}
     for k, h in enumerate(keys):
@@ -166,10 +175,14 @@ def label_tokens(w: textkit.Words, toxic: np.ndarray) -> np.ndarray:
         c = np.where(neg[i] == f, n_neg[i], 0) if len(neg) else np.zeros(len(f), np.int64)
         # almost never in clean documents, for the share of the classes in the sample
         good = (n >= 2) & (c * max(1, toxic.sum()) * 50 <= n * max(1, (~toxic).sum()))
+        spots = ok & toxic[w.doc]
+        near = np.unique(np.stack([h[spots] + U64(k), before[spots]], 1), axis=0)[:, 0]
+        contexts = np.searchsorted(near, f, "right") - np.searchsorted(near, f, "left")
+        sure = good & (c == 0) & (np.minimum(contexts, n) * rate < np.log(CHANCE))
+        chosen += f[sure].tolist()
         for x, a, m in zip(f[good].tolist(), at[good].tolist(), n[good].tolist(), strict=True):
             counts[x], member[x] = m, cut[a : a + m, 1].astype(np.int64)
     left = toxic.copy()
-    chosen = []
     by_doc = defaultdict(list)
     for x, d in member.items():
         for i in d.tolist():
@@ -229,11 +242,24 @@ def train(texts: pa.Array, toxic: np.ndarray) -> Field:
         rate = 1.0 if step < STEPS // 2 else 0.5
         weights -= rate * g / np.sqrt(square)
         trans -= 0.3 * rate * gt / np.sqrt(square_t)
+    _calibrate(weights, trans, f, first, w, toxic)
     # features never met on a toxic token only ever lower the score: of these keep the bias and the word itself
     weights[(seen == 0) & (weights > 0)] = 0
     return Field(weights, trans)
 
 
+def _calibrate(weights: np.ndarray, trans: np.ndarray, f: np.ndarray, first: np.ndarray, w: textkit.Words, toxic: np.ndarray) -> None:
+    """Move the bias so that one half is the document score that errs least on the sample; a clean text flagged counts as ``CLEAN_COST`` toxic ones missed."""
+    p = np.clip(marginals(weights[f].sum(1), first, trans)[0], 1e-9, 1 - 1e-9)
+    best = np.zeros(len(w.count))
+    np.maximum.at(best, w.doc, np.log(p / (1 - p)))
+    best[w.count == 0] = -30
+    bad, good = np.sort(best[toxic]), np.sort(best[~toxic])
+    cuts = np.arange(-2, 4.01, 0.25)
+    cost = np.searchsorted(bad, cuts) + CLEAN_COST * (len(good) - np.searchsorted(good, cuts))
+    weights[0] -= cuts[np.argmin(cost)]
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Field:
     """Learn from ``docs`` (doc_id, text) joined with ``labels`` (doc_id, toxic)."""
     labels = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
