@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, brown, decontaminate, langid, media, quality, setjoin, toxicity
+from . import bpe, brown, decontaminate, langid, media, nearjoin, quality, setjoin, toxicity
 
 
 def documents(spark, sf_dir):
@@ -52,9 +52,13 @@ def op5_license(spark, sf_dir):
     return setjoin.license_labels(documents(spark, sf_dir))
 
 
+def op7_nearjoin(spark, sf_dir):
+    return nearjoin.classify(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "links")
+
+
 def op10_media(spark, sf_dir):
     return media.stored_texts(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_brown, op3_bpe, op4_langid, op5_license, op6_toxicity, op9_quality, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_brown, op3_bpe, op4_langid, op5_license, op6_toxicity, op7_nearjoin, op9_quality, op10_media)}
 ORACLE_SQL: dict[str, str] = {"op1_decontaminate": decontaminate.oracle(), "op5_license": setjoin.oracle()}
