@@ -33,7 +33,7 @@ PASSAGE = 50
 SAMPLE = 2000
 SAMPLE_BYTES = 1 << 16
 HIDDEN = 12
-STEPS = 600
+STEPS = 400
 
 #: Byte classes whose shares are features.
 CLASSES = {
@@ -158,16 +158,13 @@ def train(x: np.ndarray, at: np.ndarray, y: np.ndarray, weight: np.ndarray, shar
 def fit(docs: DataFrame, labels: DataFrame) -> Net:
     """Learn from ``docs`` (doc_id, text) joined with ``labels`` (doc_id, quality)."""
     labels = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    joined = docs.join(labels, "doc_id")
-    share = {int(k == 1): n for k, n in joined.groupBy(F.col("quality") == 1).count().toArrow().to_pandas().itertuples(index=False)}
-    rows = joined.where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_BYTES)
-    parts = [rows.where((F.col("quality") == 1) == bool(k)).orderBy(F.xxhash64("doc_id", "text")).limit(SAMPLE).toArrow() for k in (0, 1)]
-    y = np.repeat([0.0, 1.0], [p.num_rows for p in parts])
-    weight = np.concatenate([np.full(p.num_rows, share.get(k, 0) / max(1, p.num_rows)) for k, p in enumerate(parts)])
-    texts = pa.concat_arrays([c.cast(pa.large_string()) for p in parts for c in p["text"].chunks] or [pa.array([], pa.large_string())])
-    x, at = passages(texts)
-    total = sum(share.values())
-    return train(x, at, y, weight, share.get(1, 0) / total if total else 0.5)
+    texts, n = textkit.labelled_sample(docs, labels, "quality", SAMPLE, SAMPLE_BYTES)
+    y = np.repeat([0.0, 1.0], [len(t) for t in texts])
+    weight = np.concatenate([np.full(len(t), k / max(1, len(t))) for t, k in zip(texts, n, strict=True)])
+    parts = [passages(b.column(0)) for b in textkit.slices(pa.record_batch([pa.concat_arrays(texts)], ["text"]))]
+    x = np.concatenate([np.zeros((0, FEATURES)), *(p for p, _ in parts)])
+    at = np.append(0, np.cumsum(np.concatenate([np.zeros(0, np.int64), *(np.diff(a) for _, a in parts)])))
+    return train(x, at, y, weight, n[1] / sum(n) if sum(n) else 0.5)
 
 
 def score(docs: DataFrame, net: Net, keep: dict[str, str], threshold: float = 0.3, attention: bool = True) -> DataFrame:

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
@@ -168,3 +169,27 @@ def drop_written(df: DataFrame) -> None:
     for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
         p = spark._jvm.org.apache.hadoop.fs.Path(f)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int, max_bytes: int) -> tuple[list[pa.Array], list[int]]:
+    """Texts of at most ``sample`` rows of each class 0 and 1, and the number of labelled rows of each class.
+
+    ``docs``: doc_id, text; ``labels``: doc_id and ``label``, one row an id.  Ids are
+    matched and picked (in order of a hash) before any text is read; then a broadcast
+    of at most 2 * ``sample`` ids fetches their texts, those of up to ``max_bytes``.
+    """
+    from pyspark.sql import functions as F
+
+    spark = docs.sparkSession
+    there = labels.join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", (F.col(label) == 1).cast("int").alias("y"))
+    counts = {r["y"]: r["count"] for r in there.groupBy("y").count().collect()}
+    picks = [there.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
+    rows = [(r["doc_id"], r["y"]) for p in picks for r in p.collect()]
+    ids = F.broadcast(spark.createDataFrame(rows, "doc_id bigint, y int"))
+    fit = docs.where(F.octet_length(F.coalesce("text", F.lit(""))) <= max_bytes)
+    t = fit.join(ids, "doc_id").select("y", "doc_id", "text").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    out = []
+    for k in (0, 1):
+        own = t.filter(pa.compute.equal(t["y"], k)).slice(0, sample)["text"]
+        out.append(pa.concat_arrays([c.cast(pa.large_string()) for c in own.chunks] or [pa.array([], pa.large_string())]))
+    return out, [counts.get(k, 0) for k in (0, 1)]
