@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, brown, decontaminate, langid, media, nearjoin, quality, setjoin, toxicity
+from . import bpe, brown, decontaminate, langid, media, nearjoin, quality, setjoin, substring, toxicity
 
 
 def documents(spark, sf_dir):
@@ -56,9 +56,13 @@ def op7_nearjoin(spark, sf_dir):
     return nearjoin.classify(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "links")
 
 
+def op8_substring(spark, sf_dir):
+    return substring.digests(documents(spark, sf_dir))
+
+
 def op10_media(spark, sf_dir):
     return media.stored_texts(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_brown, op3_bpe, op4_langid, op5_license, op6_toxicity, op7_nearjoin, op9_quality, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_brown, op3_bpe, op4_langid, op5_license, op6_toxicity, op7_nearjoin, op8_substring, op9_quality, op10_media)}
 ORACLE_SQL: dict[str, str] = {"op1_decontaminate": decontaminate.oracle(), "op5_license": setjoin.oracle()}
