@@ -10,9 +10,10 @@ distinct words.  Words are ordered by their frequency in all blocks, rarest firs
   1 + min(|t| - i - 1, |b| - j - 1) >= o
 
 leave few pairs, whose overlap is then counted.  Only words of some template matter,
-so b is cut to those first.  Everything runs in Spark expressions over a document's
-row: the templates are a bounded literal, no row is shuffled, and the one gathered
-table has a row for each template word.
+so b is cut to those first.  Everything is DataFrame operations: blocks that hold a
+prefix word meet the templates' prefixes in a broadcast join on the word's rank (the
+templates are a constant), and the matches of a text return to its rows by the text's
+hash.  The one gathered table has a row for each template word.
 
 Beside these blocks, phrases are found wherever their words stand consecutively.
 
@@ -27,8 +28,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words: letters, digits and all beyond ASCII, after A-Z are lower-cased.
+#: Words: letters, digits and all beyond ASCII, after A-Z are lower-cased; and what stands between them.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Phrases and their labels (fixed values).
@@ -63,7 +65,7 @@ def lowered(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Words of a text in order; ``text`` is lower-cased already."""
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(text, BETWEEN), "")
 
 
 def _tokens(text: str) -> list[str]:
@@ -82,12 +84,12 @@ class Plan:
 
 
 def plan(docs: DataFrame, text: str, templates=TEMPLATES, threshold: tuple[int, int] = THRESHOLD) -> Plan:
-    """Count the templates' words over all blocks and order them."""
+    """Count the templates' words over all blocks and order them; ``text`` is lower-cased already."""
     sets = [(label, sorted(set(_tokens(t)))) for t, label in templates]
     if any(not s for _, s in sets):
         raise ValueError("a template has no word")
     universe = sorted({w for _, s in sets for w in s})
-    counts = docs.select(F.explode(words(lowered(F.col(text)))).alias("w")).where(F.col("w").isin(universe)).groupBy("w").count()
+    counts = docs.select(F.explode(words(F.col(text))).alias("w")).where(F.col("w").isin(universe)).groupBy("w").count()
     n = {r["w"]: r["count"] for r in counts.collect()}  # a row for each template word at most
     order = sorted(universe, key=lambda w: (n.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
@@ -99,38 +101,26 @@ def plan(docs: DataFrame, text: str, templates=TEMPLATES, threshold: tuple[int,
     return Plan(rank, out, sorted({order[r] for _, ranks, _, p in out for r in ranks[:p]}))
 
 
-def hits(p: Plan, text: Column, all_words: Column) -> Column:
-    """array<struct<block, label, overlap, size>> of the matches of a lower-cased text's blocks."""
-    known = F.array(*(F.lit(w) for w in p.rank))
-    rank = F.create_map(*(F.lit(x) for w, r in p.rank.items() for x in (w, r)))
-    templates = F.array(*(F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, ranks)).alias("ranks"), F.lit(need).alias("need"), F.lit(prefix).alias("prefix")) for label, ranks, need, prefix in p.templates))
-
-    def ranks_of(line: Column) -> Column:
-        return F.array_sort(F.transform(F.array_intersect(words(line), known), lambda w: F.element_at(rank, w)))
-
-    def match(t: Column, b: Column) -> Column:
-        size, need = F.size(b), t["need"]
-
-        def at(i: Column) -> Column:
-            j = F.array_position(b, F.element_at(t["ranks"], i))  # from 1; 0 if it is not there
-            return (j > 0) & (j <= size - need + 1) & (F.least(F.size(t["ranks"]) - i, size - j) + 1 >= need)
+HITS = "array<struct<block:int,label:string,overlap:int,size:int>>"
 
-        return (size >= need) & F.exists(F.sequence(F.lit(1), t["prefix"]), at) & (F.size(F.array_intersect(t["ranks"], b)) >= need)
 
-    def of_block(line: Column, k: Column) -> Column:
-        return F.transform(
-            F.filter(F.transform(templates, lambda t: F.struct(t.alias("t"), ranks_of(line).alias("b"))), lambda x: match(x["t"], x["b"])),
-            lambda x: F.struct(k.cast("int").alias("block"), x["t"]["label"].alias("label"), F.size(F.array_intersect(x["t"]["ranks"], x["b"])).alias("overlap"), F.size(x["t"]["ranks"]).alias("size")),
-        )
-
-    def blocks() -> Column:
-        prefix = F.array(*map(F.lit, p.prefix_words))
-        lines = F.transform(F.split(text, "\n"), lambda line, k: F.struct(line.alias("line"), k.alias("k")))
-        worth = F.filter(lines, lambda x: F.arrays_overlap(words(x["line"]), prefix))
-        return F.flatten(F.transform(worth, lambda x: of_block(x["line"], x["k"])))
-
-    none = F.expr("cast(array() as array<struct<block:int,label:string,overlap:int,size:int>>)")
-    return F.when(F.arrays_overlap(all_words, F.array(*map(F.lit, p.prefix_words))), blocks()).otherwise(none)
+def matches(p: Plan, texts: DataFrame) -> DataFrame:
+    """key and hits (HITS) of each text with a match.  ``texts``: key, lower-cased text."""
+    spark = texts.sparkSession
+    prefix = F.array(*map(F.lit, p.prefix_words))
+    known = F.array(*(F.lit(w) for w in p.rank))
+    rank = F.create_map(*(F.lit(x) for w, r in p.rank.items() for x in (w, r)))
+    worth = texts.where(F.arrays_overlap(words(F.col("text")), prefix))
+    lines = worth.select("key", F.posexplode(F.split("text", "\n")).alias("block", "line")).select("key", "block", words(F.col("line")).alias("w"))
+    blocks = lines.where(F.arrays_overlap("w", prefix)).select("key", "block", F.array_sort(F.transform(F.array_intersect("w", known), lambda w: F.element_at(rank, w))).alias("b"))
+    rows = [(ranks[i], label, ranks, i, need) for label, ranks, need, n in p.templates for i in range(n)]
+    heads = spark.createDataFrame(rows, "r int, label string, ranks array<int>, i int, need int")
+    j, size, of = F.col("j"), F.size("b"), F.size("ranks")
+    met = blocks.select("key", "block", "b", F.posexplode("b").alias("j", "r")).join(F.broadcast(heads), "r")
+    met = met.where((size >= F.col("need")) & (j <= size - F.col("need")) & (F.least(of - F.col("i"), size - j) >= F.col("need")))
+    overlap = F.size(F.array_intersect("ranks", "b"))
+    hit = met.select("key", F.struct(F.col("block").cast("int").alias("block"), "label", overlap.alias("overlap"), of.alias("size")).alias("hit"), "need").where(F.col("hit.overlap") >= F.col("need"))
+    return hit.groupBy("key").agg(F.array_sort(F.collect_set("hit")).cast(HITS).alias("hits"))
 
 
 def places(phrase: str, w: Column) -> Column:
@@ -148,17 +138,18 @@ def places(phrase: str, w: Column) -> Column:
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=TEMPLATES, phrases=PHRASES, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """doc_id, n_words, places (array<struct<label, start>>) and hits (see ``hits``) of every row."""
-    src = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), lowered(docs[text]).alias("text"))
+    """doc_id, n_words, places (array<struct<label, start>>) and hits (HITS: block, label, shared and all words of the template) of every row."""
+    src = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), lowered(docs[text]).alias("text")).withColumn("key", F.xxhash64("text"))
     p = plan(src, "text", templates, threshold)
-    src = src.select("doc_id", "text", words(F.col("text")).alias("w"))
+    found = matches(p, src.select("key", "text"))
+    main = src.select("doc_id", "key", words(F.col("text")).alias("w"))
     w = F.col("w")
 
     def labelled(phrase: str, label: str) -> Column:
         return F.transform(places(phrase, w), lambda i: F.struct(F.lit(label).alias("label"), i.cast("bigint").alias("start")))
 
-    found = F.concat(*(labelled(*x) for x in phrases))
-    return src.select("doc_id", F.size("w").cast("bigint").alias("n_words"), found.alias("places"), hits(p, F.col("text"), w).alias("hits"))
+    main = main.select("doc_id", "key", F.size("w").cast("bigint").alias("n_words"), F.concat(*(labelled(*x) for x in phrases)).alias("places"))
+    return main.join(found, "key", "left").select("doc_id", "n_words", "places", F.coalesce("hits", F.expr(f"cast(array() as {HITS})")).alias("hits"))
 
 
 def license_labels(docs: DataFrame, **how) -> DataFrame:
