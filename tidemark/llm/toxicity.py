@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from . import textkit
 from .textkit import U64
 
-SAMPLE = 2000
+SAMPLE = 1000
 SAMPLE_BYTES = 1 << 16
 BITS = 18
 PREFIXES = (3, 4, 5, 6)
@@ -46,7 +46,7 @@ RUN = 256
 STEPS = 40
 #: Largest probability of meeting a word by chance in toxic documents only.
 CHANCE = 1e-6
-CLEAN_COST = 3
+CLEAN_COST = 8
 
 
 def _tokens(texts: pa.Array) -> textkit.Words:
@@ -71,9 +71,9 @@ def _affixes(w: textkit.Words) -> list[np.ndarray]:
 
 
 def features(w: textkit.Words) -> np.ndarray:
-    """Hashed feature numbers, one row a token; number 0 is the bias, 1 stands for nothing."""
+    """Hashed feature numbers, one row a feature and one column a token; number 0 is the bias, 1 stands for nothing."""
     if not len(w):
-        return np.zeros((0, 9), np.int64)
+        return np.zeros((9, 0), np.int32)
     first = np.zeros(len(w), bool)
     first[w.at[:-1][w.count > 0]] = True
     last = np.append(first[1:], True)
@@ -85,7 +85,23 @@ def features(w: textkit.Words) -> np.ndarray:
     out = [np.zeros(len(w), np.int64)]
     for i, c in enumerate(cols):
         out.append(np.where(c == 0, 1, 2 + (textkit.mix(c + U64(i << 8)) >> top).astype(np.int64)))
-    return np.stack(out, 1)
+    return np.stack([c.astype(np.int32) for c in out])
+
+
+def weigh(weights: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Sum of each token's feature weights; ``f`` has a row a feature."""
+    out = np.zeros(f.shape[1])
+    for c in f:
+        out += weights[c]
+    return out
+
+
+def spread(f: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Each feature's sum of the values of its tokens."""
+    out = np.zeros(size)
+    for c in f:
+        out += np.bincount(c, values, size)
+    return out
 
 
 def _scan(maps: np.ndarray) -> np.ndarray:
@@ -153,7 +169,7 @@ class Field:
         first = np.zeros(len(w), bool)
         first[w.at[:-1][w.count > 0]] = True
         f = features(w)
-        return marginals(self.weights[f].sum(1), first, self.trans)[0]
+        return marginals(weigh(self.weights, f), first, self.trans)[0]
 
 
 def label_tokens(w: textkit.Words, toxic: np.ndarray) -> np.ndarray:
@@ -220,9 +236,8 @@ def train(texts: pa.Array, toxic: np.ndarray) -> Field:
     first = np.zeros(len(w), bool)
     first[w.at[:-1][w.count > 0]] = True
     f = features(w)
-    flat = f.ravel()
     size = len(field.weights)
-    seen = np.bincount(flat[np.repeat(y, f.shape[1])], minlength=size)
+    seen = spread(f, y.astype(float), size)
     weights, trans = np.zeros(size), np.zeros((2, 2))
     weights[0] = -4.0
     square, square_t = np.full(size, 1e-8), np.full((2, 2), 1e-8)
@@ -230,9 +245,9 @@ def train(texts: pa.Array, toxic: np.ndarray) -> Field:
     have = np.zeros((2, 2))
     np.add.at(have, (y[inner - 1].astype(int), y[inner].astype(int)), 1)
     for step in range(STEPS):
-        emit = weights[f].sum(1)
+        emit = weigh(weights, f)
         p, alpha, beta = marginals(emit, first, trans)
-        g = np.bincount(flat, np.repeat(p - y, f.shape[1]), size) + 1e-3 * weights
+        g = spread(f, p - y, size) + 1e-3 * weights
         e, t = np.exp(np.clip(emit[inner], -40, 40)), np.exp(trans)
         a, b = alpha[inner - 1], beta[inner]
         joint = np.stack([np.stack([np.full(len(a), t[0, 0]), t[0, 1] * e * b]), np.stack([a * t[1, 0], a * t[1, 1] * e * b])])
@@ -250,7 +265,7 @@ def train(texts: pa.Array, toxic: np.ndarray) -> Field:
 
 def _calibrate(weights: np.ndarray, trans: np.ndarray, f: np.ndarray, first: np.ndarray, w: textkit.Words, toxic: np.ndarray) -> None:
     """Move the bias so that one half is the document score that errs least on the sample; a clean text flagged counts as ``CLEAN_COST`` toxic ones missed."""
-    p = np.clip(marginals(weights[f].sum(1), first, trans)[0], 1e-9, 1 - 1e-9)
+    p = np.clip(marginals(weigh(weights, f), first, trans)[0], 1e-9, 1 - 1e-9)
     best = np.zeros(len(w.count))
     np.maximum.at(best, w.doc, np.log(p / (1 - p)))
     best[w.count == 0] = -30
@@ -263,13 +278,8 @@ def _calibrate(weights: np.ndarray, trans: np.ndarray, f: np.ndarray, first: np.
 def fit(docs: DataFrame, labels: DataFrame) -> Field:
     """Learn from ``docs`` (doc_id, text) joined with ``labels`` (doc_id, toxic)."""
     labels = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.join(labels, "doc_id").where(F.length("text") <= SAMPLE_BYTES)
-    parts = [rows.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id", "text")).limit(SAMPLE).toArrow() for k in (0, 1)]
-    t = pa.concat_tables(parts).combine_chunks()
-    texts = t["text"].combine_chunks() if t.num_rows else pa.array([], pa.string())
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.chunk(0)
-    return train(texts, t["toxic"].to_numpy() == 1)
+    texts, _ = textkit.labelled_sample(docs, labels, "toxic", SAMPLE, SAMPLE_BYTES)
+    return train(pa.concat_arrays(texts), np.repeat([False, True], [len(t) for t in texts]))
 
 
 SPANS = "array<struct<start:bigint,end:bigint,text:string,p:double>>"
