@@ -60,8 +60,8 @@ def _items(items: DataFrame, item_id: str, text: str, shingle: int) -> DataFrame
     return src.select("item_id", length.alias("length"), F.array_distinct(F.when(F.size("w") >= shingle, shingles(F.col("w"), shingle)).otherwise(whole)).alias("own")).dropDuplicates(["item_id", "own"])
 
 
-def search(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """doc_id, item_id, n_shingles (of the item), n_shared and containment of every pair that reaches the threshold."""
+def pairs(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """As ``search``, with key: the hash of the document's lower-cased text."""
     up, down = threshold
     its = _items(items, item_id, item_text, shingle)
     # the hash of a shingle is taken from its words, so that documents need not build texts
@@ -88,20 +88,35 @@ def search(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
         own = sketch.where(F.col("length") == x)
         hit = part.join(F.broadcast(own) if rows <= BROADCAST_ROWS else own, "h").where((F.col("size") - x + 1) * down >= F.col("n") * up).select("doc_id", "key", "item_id", F.lit(x).alias("length"))
         found = hit if found is None else found.unionByName(hit)
-    out = "doc_id bigint, item_id bigint, n_shingles bigint, n_shared bigint, containment double"
+    out = "doc_id bigint, item_id bigint, n_shingles bigint, n_shared bigint, containment double, key bigint"
     if found is None:
         return docs.sparkSession.createDataFrame([], out)
     candidates = found.distinct().groupBy("doc_id", "key").agg(F.collect_list(F.struct("length", "item_id")).alias("pairs"))
     texts = src.withColumn("key", F.xxhash64("text")).withColumnRenamed("doc_id", "id").withColumnRenamed("key", "k")
     both = texts.join(candidates, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("key"))).select("doc_id", "pairs", setjoin.words(F.col("text")).alias("w"), "key")
     sets = F.create_map(*(c for x in lengths for c in (F.lit(x), F.array_distinct(shingles(F.col("w"), x)))))
-    pairs = both.select("doc_id", "key", sets.alias("sets"), F.explode("pairs").alias("p"))
+    each = both.select("doc_id", "key", sets.alias("sets"), F.explode("pairs").alias("p"))
     own = its.select("item_id", "own")
-    checked = pairs.select("doc_id", "key", F.col("p")["item_id"].alias("item_id"), F.element_at("sets", F.col("p")["length"]).alias("have"))
+    checked = each.select("doc_id", "key", F.col("p")["item_id"].alias("item_id"), F.element_at("sets", F.col("p")["length"]).alias("have"))
     checked = checked.withColumnRenamed("item_id", "i").join(F.broadcast(own) if rows <= BROADCAST_ROWS else own, F.col("i").eqNullSafe(F.col("item_id")))
     shared = F.size(F.array_intersect("own", "have"))
     kept = checked.select("doc_id", "key", "item_id", F.size("own").cast("bigint").alias("n_shingles"), shared.cast("bigint").alias("n_shared")).where(F.col("n_shared") * down >= F.col("n_shingles") * up)
-    return kept.distinct().select("doc_id", "item_id", "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
+    return kept.distinct().select("doc_id", "item_id", "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"), "key")
+
+
+def search(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
+    """doc_id, item_id, n_shingles (of the item), n_shared and containment of every pair that reaches the threshold.
+
+    ``how``: doc_id, text, item_id, item_text (column names), shingle, threshold.
+    """
+    return pairs(docs, items, **how).drop("key")
+
+
+def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` that contain no item."""
+    found = pairs(docs, items, doc_id=doc_id, text=text, **how).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    same = docs[doc_id].cast("bigint").eqNullSafe(found["_id"]) & (F.xxhash64(setjoin.lowered(docs[text])) == found["_key"])
+    return docs.join(found, same, "left_anti")
 
 
 def oracle() -> str:

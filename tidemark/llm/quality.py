@@ -184,13 +184,31 @@ def score(docs: DataFrame, net: Net, keep: dict[str, str], threshold: float = 0.
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(of, f"{types}, score double, predicted int" + ", attention array<float>" * attention)
 
 
+def keep_good(docs: DataFrame, net: Net, text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold, with all their columns."""
+
+    def of(batches):
+        for batch in batches:
+            for part in textkit.slices(batch, text):
+                x, at = passages(part.column(text))
+                yield part.filter(pa.array(net.score(x, at)[0] >= threshold))
+
+    textkit.bounded_batches(docs.sparkSession)
+    return docs.mapInArrow(of, docs.schema)
+
+
 def fold_of(docs: DataFrame, fold: int, held: int) -> DataFrame:
     return docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % fold == held, F.lit(False)))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", fold: int = 5, held: int = 0, threshold: float = 0.3) -> DataFrame:
-    """Learn from labelled rows whose crc32(doc_id) mod ``fold`` is not ``held``; score all rows.  A null doc_id is not held out."""
+def fit_fold(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", fold: int = 5, held: int = 0) -> tuple[Net, DataFrame]:
+    """The net learned from all folds but one, and doc_id, text, held_out of every row."""
     textkit.bounded_batches(docs.sparkSession)
     src = fold_of(docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text")), fold, held)
-    net = fit(src.where(~F.col("held_out")), labels.select(labels[doc_id].cast("bigint").alias("doc_id"), labels[quality].cast("int").alias("quality")))
+    return fit(src.where(~F.col("held_out")), labels.select(labels[doc_id].cast("bigint").alias("doc_id"), labels[quality].cast("int").alias("quality"))), src
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", fold: int = 5, held: int = 0, threshold: float = 0.3) -> DataFrame:
+    """Learn from labelled rows whose crc32(doc_id) mod ``fold`` is not ``held``; score all rows.  A null doc_id is not held out."""
+    net, src = fit_fold(docs, labels, doc_id, text, quality, fold, held)
     return score(src, net, {"doc_id": "bigint", "held_out": "boolean"}, threshold)

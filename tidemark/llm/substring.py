@@ -329,7 +329,7 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
 
 
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """``docs`` with the kept words as its text, and columns n_words and n_removed.
+    """``docs`` with the kept words as its text; rows that lose every word go.
 
     A text that loses nothing stays as it is, white space included; others hold their
     kept words joined by one space.
@@ -346,7 +346,6 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
                 kept = [o if not r else k.decode("utf-8", "replace") for o, k, r in zip(part.column(text).to_pylist(), _kept_texts(w, gone), removed.tolist(), strict=True)]
                 cols = [part.column(c) for c in names]
                 cols[where] = pa.array(kept, pa.string())
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(w.count.astype(np.int64)), pa.array(removed.astype(np.int64))], names=[*names, "n_words", "n_removed"])
+                yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array((removed == 0) | (removed < w.count)))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return _with_fates(docs, doc_id, text, length).select(*names, "_fates").mapInArrow(of, f"{schema}, n_words bigint, n_removed bigint")
+    return _with_fates(docs, doc_id, text, length).select(*names, "_fates").mapInArrow(of, docs.schema)
