@@ -30,7 +30,7 @@ from . import textkit
 #: Longest piece, in bytes, that is merged in step with others.
 LOCKSTEP = 64
 #: Pieces that a worker remembers; when full, it forgets all and goes on.
-CACHE = 400_000
+CACHE = 250_000
 NONE = np.int64(1 << 62)
 
 
@@ -217,10 +217,13 @@ def encoder(path: str, pattern: str) -> Encoder:
 def _each(path: str, pattern: str, row, names: list[str]):
     def of(batches):
         enc = encoder(path, pattern)
-        for b in batches:
-            for part in textkit.slices(b):
-                ids = enc.encode([x or "" for x in part.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *row(enc, ids)], names=names)
+        try:
+            for b in batches:
+                for part in textkit.slices(b):
+                    ids = enc.encode([x or "" for x in part.column("text").to_pylist()])
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), *row(enc, ids)], names=names)
+        finally:
+            enc.seen = {}  # the worker keeps the vocabulary, not the pieces
 
     return of
 
@@ -240,7 +243,7 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
     def row(_, ids):
         return [pa.array(ids, pa.list_(pa.int32()))]
 
-    return _source(docs, doc_id, text).mapInArrow(_each(path, pattern, row, ["doc_id", "ids"]), "doc_id bigint, ids array<int>")
+    return _source(docs, doc_id, text).mapInArrow(textkit.releasing(_each(path, pattern, row, ["doc_id", "ids"])), "doc_id bigint, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -251,7 +254,7 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([enc.decode(x or []) for x in b.column("ids").to_pylist()], pa.binary())], names=["doc_id", "data"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(of, "doc_id bigint, data binary")
+    return tokens.select("doc_id", "ids").mapInArrow(textkit.releasing(of), "doc_id bigint, data binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -266,4 +269,4 @@ def digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", te
         ]
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-    return _source(docs, doc_id, text).mapInArrow(_each(path, pattern, row, names), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return _source(docs, doc_id, text).mapInArrow(textkit.releasing(_each(path, pattern, row, names)), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

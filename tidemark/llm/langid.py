@@ -117,7 +117,7 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             i = np.flatnonzero(t)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(i), pa.string()), pa.array(i.astype(np.int32)), pa.array(t[i])], names=["lang", "gram", "n"])
 
-    rows = docs.where("lang IS NOT NULL").select("text", "lang").mapInArrow(of, "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    rows = docs.where("lang IS NOT NULL").select("text", "lang").mapInArrow(textkit.releasing(of), "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     names = np.array(rows["lang"].to_pylist(), object)
     langs = sorted(set(names.tolist()))
     out = np.zeros((len(langs), DIM))
@@ -151,7 +151,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: dict[str
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     types = ", ".join(f"{k} {t}" for k, t in keep.items())
-    return docs.select(*keep, "text").mapInArrow(of, f"{types}, lang_pred string, score double")
+    return docs.select(*keep, "text").mapInArrow(textkit.releasing(of), f"{types}, lang_pred string, score double")
 
 
 def identify_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fold: int = 3, held: int = 1) -> DataFrame:

@@ -237,7 +237,7 @@ def media_columns(df: DataFrame, blob: str, keep: list[str]) -> DataFrame:
     textkit.bounded_batches(df.sparkSession)
     src = df.select(*keep, df[blob].cast("binary").alias("_blob"))
     types = ", ".join(f"`{k}` {src.schema[k].dataType.simpleString()}" for k in keep)
-    return src.mapInArrow(of, f"{types}, codec string, timescale bigint, duration bigint, n_samples bigint, keyframes array<struct<start:bigint,length:bigint>>, error string")
+    return src.mapInArrow(textkit.releasing(of), f"{types}, codec string, timescale bigint, duration bigint, n_samples bigint, keyframes array<struct<start:bigint,length:bigint>>, error string")
 
 
 def stored_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -269,4 +269,4 @@ def stored_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     textkit.bounded_batches(docs.sparkSession)
     NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "duration_s", "keyframes"]
     src = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text"))
-    return src.mapInArrow(of, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, codec string, duration_s double, keyframes array<struct<start:bigint,length:bigint>>")
+    return src.mapInArrow(textkit.releasing(of), "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, codec string, duration_s double, keyframes array<struct<start:bigint,length:bigint>>")

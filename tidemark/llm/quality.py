@@ -181,7 +181,7 @@ def score(docs: DataFrame, net: Net, keep: dict[str, str], threshold: float = 0.
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, "score", "predicted", *["attention"] * attention])
 
     types = ", ".join(f"{k} {t}" for k, t in keep.items())
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(of, f"{types}, score double, predicted int" + ", attention array<float>" * attention)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(textkit.releasing(of), f"{types}, score double, predicted int" + ", attention array<float>" * attention)
 
 
 def keep_good(docs: DataFrame, net: Net, text: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -194,7 +194,7 @@ def keep_good(docs: DataFrame, net: Net, text: str = "text", threshold: float =
                 yield part.filter(pa.array(net.score(x, at)[0] >= threshold))
 
     textkit.bounded_batches(docs.sparkSession)
-    return docs.mapInArrow(of, docs.schema)
+    return docs.mapInArrow(textkit.releasing(of), docs.schema)
 
 
 def fold_of(docs: DataFrame, fold: int, held: int) -> DataFrame:

@@ -145,6 +145,25 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def releasing(f):
+    """``f`` over batches, giving memory back to the system when a task ends: workers live on, and what one task freed would add to the next one's."""
+
+    def g(batches):
+        try:
+            yield from f(batches)
+        finally:
+            import ctypes
+            import gc
+
+            gc.collect()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return g
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share.
 

@@ -172,17 +172,16 @@ class Field:
         return marginals(weigh(self.weights, f), first, self.trans)[0]
 
 
-def label_tokens(w: textkit.Words, toxic: np.ndarray) -> np.ndarray:
-    """Token labels explained from document labels; see the module's text."""
-    keys = [w.hash, *_affixes(w)[1:-1]]
-    before = np.append(U64(0), w.hash[:-1])
+def label_tokens(keys: list[np.ndarray], doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Token labels explained from document labels; see the module's text.  ``keys``: hashes of words, then of their prefixes."""
+    before = np.append(U64(0), keys[0][:-1])
     rate = np.log(max(1, toxic.sum()) / max(2, len(toxic)))
     chosen: list[int] = []
     counts: dict[int, int] = {}
     member: dict[int, np.ndarray] = {}
     for k, h in enumerate(keys):
         ok = h != 0
-        pair = np.unique(np.stack([h[ok] + U64(k), w.doc[ok].astype(U64)], 1), axis=0)
+        pair = np.unique(np.stack([h[ok] + U64(k), doc[ok].astype(U64)], 1), axis=0)
         bad = toxic[pair[:, 1].astype(np.int64)]
         neg, n_neg = np.unique(pair[~bad, 0], return_counts=True)
         cut = pair[bad]
@@ -191,7 +190,7 @@ def label_tokens(w: textkit.Words, toxic: np.ndarray) -> np.ndarray:
         c = np.where(neg[i] == f, n_neg[i], 0) if len(neg) else np.zeros(len(f), np.int64)
         # almost never in clean documents, for the share of the classes in the sample
         good = (n >= 2) & (c * max(1, toxic.sum()) * 50 <= n * max(1, (~toxic).sum()))
-        spots = ok & toxic[w.doc]
+        spots = ok & toxic[doc]
         near = np.unique(np.stack([h[spots] + U64(k), before[spots]], 1), axis=0)[:, 0]
         contexts = np.searchsorted(near, f, "right") - np.searchsorted(near, f, "left")
         sure = good & (c == 0) & (np.minimum(contexts, n) * rate < np.log(CHANCE))
@@ -215,27 +214,36 @@ def label_tokens(w: textkit.Words, toxic: np.ndarray) -> np.ndarray:
                     counts[x] -= 1
         counts.pop(best)
     picked = np.sort(np.array(chosen, U64))
-    out = np.zeros(len(w), bool)
+    out = np.zeros(len(doc), bool)
     for k, h in enumerate(keys):
         if len(picked):
             i = np.minimum(np.searchsorted(picked, h + U64(k)), len(picked) - 1)
             out |= (h != 0) & (picked[i] == h + U64(k))
-    return out & toxic[w.doc]
+    return out & toxic[doc]
 
 
 def train(texts: pa.Array, toxic: np.ndarray) -> Field:
     """Fit by full-batch adaptive gradient steps on the penalised likelihood."""
     field = Field(np.zeros((1 << BITS) + 2), np.zeros((2, 2)))
-    w = _tokens(texts)
     field.weights[0] = -30.0
-    if not toxic.any() or not len(w):
+    # a slice at a time, so that only what is kept of a token takes memory
+    parts, keys, docs, start = [], [], [], 0
+    for b in textkit.slices(pa.record_batch([texts], ["text"])):
+        w = _tokens(b.column(0))
+        parts.append(features(w))
+        keys.append([w.hash, *_affixes(w)[1:-1]] if len(w) else [w.hash] * len(PREFIXES))
+        docs.append(w.doc + start)
+        start += b.num_rows
+    doc = np.concatenate([np.zeros(0, np.int64), *docs])
+    if not toxic.any() or not len(doc):
         return field
-    y = label_tokens(w, toxic)
+    y = label_tokens([np.concatenate(k) for k in zip(*keys, strict=True)], doc, toxic)
+    del keys, docs
     if not y.any():
         return field
-    first = np.zeros(len(w), bool)
-    first[w.at[:-1][w.count > 0]] = True
-    f = features(w)
+    first = np.append(True, doc[1:] != doc[:-1])
+    f = np.concatenate(parts, 1)
+    del parts
     size = len(field.weights)
     seen = spread(f, y.astype(float), size)
     weights, trans = np.zeros(size), np.zeros((2, 2))
@@ -257,18 +265,17 @@ def train(texts: pa.Array, toxic: np.ndarray) -> Field:
         rate = 1.0 if step < STEPS // 2 else 0.5
         weights -= rate * g / np.sqrt(square)
         trans -= 0.3 * rate * gt / np.sqrt(square_t)
-    _calibrate(weights, trans, f, first, w, toxic)
+    _calibrate(weights, trans, f, first, doc, toxic)
     # features never met on a toxic token only ever lower the score: of these keep the bias and the word itself
     weights[(seen == 0) & (weights > 0)] = 0
     return Field(weights, trans)
 
 
-def _calibrate(weights: np.ndarray, trans: np.ndarray, f: np.ndarray, first: np.ndarray, w: textkit.Words, toxic: np.ndarray) -> None:
+def _calibrate(weights: np.ndarray, trans: np.ndarray, f: np.ndarray, first: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> None:
     """Move the bias so that one half is the document score that errs least on the sample; a clean text flagged counts as ``CLEAN_COST`` toxic ones missed."""
     p = np.clip(marginals(weigh(weights, f), first, trans)[0], 1e-9, 1 - 1e-9)
-    best = np.zeros(len(w.count))
-    np.maximum.at(best, w.doc, np.log(p / (1 - p)))
-    best[w.count == 0] = -30
+    best = np.full(len(toxic), -30.0)
+    np.maximum.at(best, doc, np.log(p / (1 - p)))
     bad, good = np.sort(best[toxic]), np.sort(best[~toxic])
     cuts = np.arange(-2, 4.01, 0.25)
     cost = np.searchsorted(bad, cuts) + CLEAN_COST * (len(good) - np.searchsorted(good, cuts))
@@ -315,7 +322,7 @@ def score(docs: DataFrame, field: Field, keep: dict[str, str], spans: bool = Tru
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, "score", "predicted", *["spans"] * spans])
 
     types = ", ".join(f"{k} {t}" for k, t in keep.items())
-    return docs.select(*keep, "text").mapInArrow(of, f"{types}, score double, predicted int" + f", spans {SPANS}" * spans)
+    return docs.select(*keep, "text").mapInArrow(textkit.releasing(of), f"{types}, score double, predicted int" + f", spans {SPANS}" * spans)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", fold: int = 5, held: int = 0) -> DataFrame:
