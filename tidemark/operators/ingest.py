@@ -72,36 +72,35 @@ def place(points: DataFrame, now: int, conflict: str = "oldest") -> DataFrame:
     return p.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("key", "tier", "step", F.col("slot").alias("ts"), "value")
 
 
-def rolled(written: DataFrame, source: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Rows of the coarser tiers touched by ``written``, computed from ``source`` (all points of the written tiers)."""
+def rolled(source: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Rows of the coarser tiers whose intervals hold a ``fresh`` row of ``source``, computed from all its rows there."""
     coarse = F.transform("archives", lambda a, i: F.struct(i.cast("int").alias("j"), a["precision"].alias("step_j")))
     targets = catalog.select("key", "xff", "agg", F.explode(coarse).alias("t")).select("key", "xff", "agg", "t.j", "t.step_j")
     slot = (F.col("ts") - F.pmod("ts", F.col("step_j").cast("bigint"))).alias("slot")
-    touched = written.join(targets, "key").where("j > tier").select("key", "tier", "j", slot).distinct()
-    rows = source.join(targets, "key").where("j > tier").select("key", "tier", "step", "j", "step_j", "xff", "agg", slot, "ts", "value")
-    rows = rows.join(touched, ["key", "tier", "j", "slot"], "left_semi")
-    sums = rows.groupBy("key", "tier", "j", "slot", "step_j", "step", "xff", "agg").agg(F.count("*").alias("known"), aggregate(F.col("agg"), F.col("value"), F.col("ts")).alias("value"))
-    ok = F.col("known") >= F.col("xff") * (F.col("step_j") / F.col("step"))
-    sums = sums.withColumn("ok", ok)
-    any_ok = sums.groupBy("key", "tier", "j").agg(F.max(F.col("ok").cast("int")).alias("any"))
-    before = F.min("any").over(Window.partitionBy("key", "tier").orderBy("j").rowsBetween(Window.unboundedPreceding, -1))
-    going = any_ok.withColumn("go", F.coalesce(before, F.lit(1))).where("go = 1").select("key", "tier", "j")
-    out = sums.where("ok").join(going, ["key", "tier", "j"], "left_semi")
+    rows = source.join(targets, "key").where("j > tier").select("key", "tier", "step", "j", "step_j", "xff", "agg", slot, "ts", "value", "fresh")
+    sums = rows.groupBy("key", "tier", "j", "slot", "step_j", "step", "xff", "agg").agg(F.count("*").alias("known"), F.max("fresh").alias("fresh"), aggregate(F.col("agg"), F.col("value"), F.col("ts")).alias("value"))
+    sums = sums.where("fresh").withColumn("ok", F.col("known") >= F.col("xff") * (F.col("step_j") / F.col("step")))
+    # a tier goes on only if every tier before it stored something
+    any_ok = F.max(F.col("ok").cast("int")).over(Window.partitionBy("key", "tier", "j"))
+    before = F.min("any").over(Window.partitionBy("key", "tier").orderBy("j").rangeBetween(Window.unboundedPreceding, -1))
+    out = sums.withColumn("any", any_ok).withColumn("go", F.coalesce(before, F.lit(1))).where("ok AND go = 1")
     # two written tiers can reach one slot: the finer source wins
-    w = Window.partitionBy("key", "j", "slot").orderBy("tier")
-    return out.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("key", F.col("j").alias("tier"), F.col("step_j").alias("step"), F.col("slot").alias("ts"), "value")
+    return out.groupBy("key", "j", "slot").agg(F.min_by(F.struct("step_j", "value"), "tier").alias("s")).select("key", F.col("j").alias("tier"), F.col("s.step_j").alias("step"), F.col("slot").alias("ts"), F.col("s.value").alias("value"))
 
 
 def overlay(*layers: DataFrame) -> DataFrame:
-    """Rows of all layers, the first that has a (key, tier, ts) wins."""
-    out = layers[0]
-    for layer in layers[1:]:
-        out = out.unionByName(layer.join(out.select("key", "tier", "ts"), ["key", "tier", "ts"], "left_anti"))
-    return out
+    """Rows of all layers, the first that has a (key, tier, ts) wins; ``fresh`` where that is the first layer."""
+    out = layers[0].withColumn("_p", F.lit(0))
+    for k, layer in enumerate(layers[1:], 1):
+        out = out.unionByName(layer.withColumn("_p", F.lit(k)))
+    g = out.groupBy("key", "tier", "ts").agg(F.min_by(F.struct("step", "value"), "_p").alias("s"), (F.min("_p") == 0).alias("fresh"))
+    return g.select("key", "tier", F.col("s.step").alias("step"), "ts", F.col("s.value").alias("value"), "fresh")
 
 
 def write(catalog: DataFrame, points: DataFrame, batch: DataFrame, rules: list[Rule], now: int, conflict: str = "oldest") -> tuple[DataFrame, DataFrame, DataFrame]:
     """New catalogue, new points, and (key, error, ignored) of every key of the batch (key, ts, value, arrival)."""
+    # a union that claims its children's partitioning fails to plan once one of them is coalesced at run time
+    batch.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
     keys = batch.select("key").distinct()
     valid = F.col("key").rlike(glob.KEY)
     missing = keys.where(valid).join(catalog.select("key"), "key", "left_anti")
@@ -112,6 +111,7 @@ def write(catalog: DataFrame, points: DataFrame, batch: DataFrame, rules: list[R
     placed = place(batch.join(new_catalog.select("key", "archives"), "key"), now, conflict)
     # written tiers of the touched keys only: a roll-up never reads other series
     old = points.join(placed.select("key").distinct(), "key", "left_semi")
-    source = overlay(placed, old)
-    up = rolled(placed, source, new_catalog)
-    return new_catalog, overlay(placed, up, points), results
+    up = rolled(overlay(placed, old), new_catalog)
+    new = overlay(placed, up).drop("fresh")
+    # the stored points are not regrouped: what the batch replaces leaves them by an anti-join on a small side
+    return new_catalog, new.unionByName(points.join(new.select("key", "tier", "ts"), ["key", "tier", "ts"], "left_anti").select(*new.columns)), results

@@ -291,7 +291,7 @@ for _m, (_name, _v) in {1: ("avg", "avg(value)"), 2: ("sum", "sum(value)"), 3: (
     _up = " UNION ALL ".join(f"SELECT key, {j} AS tier, {step} AS step, ts - ts % {step} AS ts, round({_v} + 1e-9, 6) AS value FROM slots GROUP BY key, ts - ts % {step}" for j, step in ((1, 3600), (2, 86400)))
     query(f"rollup_{_name}", f"WITH {BASE}, {SLOTS} {_up}")(lambda spark, sf_dir, _m=_m: _rows(written(spark, sf_dir, _m)).where("tier > 0"))
 
-query("rollup_xff_gate", f"WITH {BASE}, {SLOTS} SELECT key, 1 AS tier, 3600 AS step, ts - ts % 3600 AS ts, round(sum(value) + 1e-9, 6) AS value FROM slots GROUP BY key, ts - ts % 3600 HAVING count(*) >= 0.034 * 60")(lambda spark, sf_dir: _rows(written(spark, sf_dir, 2, 0.034, "60:31d,3600:90d")).where("tier = 1"))
+query("rollup_xff_gate", f"WITH {BASE}, {SLOTS} SELECT key, 1 AS tier, 86400 AS step, ts - ts % 86400 AS ts, round(sum(value) + 1e-9, 6) AS value FROM slots GROUP BY key, ts - ts % 86400 HAVING count(*) >= 0.0015 * 1440")(lambda spark, sf_dir: _rows(written(spark, sf_dir, 2, 0.0015, "60:31d,86400:365d")).where("tier = 1"))
 
 
 @query("tier_by_age", f"WITH {BASE} SELECT key, ts, CASE WHEN {NOW} - ts <= 432000 THEN 0 WHEN {NOW} - ts <= 1296000 THEN 1 ELSE 2 END AS tier FROM e WHERE {NOW} - ts <= 2160000")
