@@ -95,8 +95,10 @@ class FMIndex:
             raise ValueError("pattern longer than the sorted depth")
         at = np.minimum(np.searchsorted(self.alphabet, patterns), len(self.alphabet) - 1)
         there = (self.alphabet[at] == patterns).all(1)
-        lo, hi = np.zeros(q, np.int64), np.where(there, self.n, 0)
-        for j in range(length - 1, -1, -1):
+        # the last symbol's interval is its block of suffixes
+        c = at[:, -1] + 1
+        lo, hi = self.first[c], np.where(there, self.first[c + 1], self.first[c])
+        for j in range(length - 2, -1, -1):
             c = at[:, j] + 1
             r = self.last_column.rank(np.concatenate([c, c]), np.concatenate([lo, hi]))
             lo, hi = self.first[c] + r[:q], self.first[c] + r[q:]

@@ -186,10 +186,16 @@ def search_shard(sequences: list[np.ndarray], ids: np.ndarray, length: int) -> t
     index = FMIndex(sequences, length)
     size = np.array([len(s) - length + 1 for s in sequences], np.int64)
     windows = np.concatenate([np.lib.stride_tricks.sliding_window_view(s, length) for s in sequences])
-    out = np.empty(len(windows), np.int64)
-    for k in range(0, len(windows), 65536):
-        lo, hi = index.intervals(windows[k : k + 65536])
-        out[k : k + 65536] = index.least(lo, hi, ids)
+    # equal windows of several sequences are searched once
+    h = np.zeros(len(windows), U64)
+    for j in range(length):
+        h = textkit.mix(h * U64(0x100000001B3) + windows[:, j].astype(U64) + U64(1))
+    _, pick, back = np.unique(h, return_index=True, return_inverse=True)
+    least = np.empty(len(pick), np.int64)
+    for k in range(0, len(pick), 65536):
+        lo, hi = index.intervals(windows[pick[k : k + 65536]])
+        least[k : k + 65536] = index.least(lo, hi, ids)
+    out = least[back]
     return out, np.append(0, np.cumsum(size))
 
 
@@ -229,7 +235,7 @@ def _search(length: int):
 
 
 def removed_windows(src: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id and its fates: structs (seq, all, starts) for each of its texts that loses words."""
+    """doc_id and the fates of its texts that lose words, one after another: hash, number of starts (-1: all words), starts."""
     if length <= GRAM:
         raise ValueError(f"a window has more than {GRAM} words")
     spark = src.sparkSession
@@ -242,51 +248,56 @@ def removed_windows(src: DataFrame, length: int = LENGTH) -> DataFrame:
 
     src = src.where("doc_id IS NOT NULL")
     textkit.bounded_batches(spark)
-    known = textkit.written(src.mapInArrow(measure, "doc_id bigint, n bigint, seq bigint").where(F.col("n") >= length), "texts")
+    known = textkit.written(src.mapInArrow(textkit.releasing(measure), "doc_id bigint, n bigint, seq bigint").where(F.col("n") >= length), "texts")
     owner = known.groupBy("seq").agg(F.min("doc_id").alias("doc_id"))
-    sent = src.select("text").mapInArrow(_send(length, GRAM), "anchor bigint, seq bigint")
+    sent = src.select("text").mapInArrow(textkit.releasing(_send(length, GRAM)), "anchor bigint, seq bigint")
     sent = sent.repartition("anchor").sortWithinPartitions("anchor", "seq")
-    repeated = textkit.written(sent.mapInArrow(_repeated(HOT), "seq bigint, anchor bigint, hot boolean"), "anchors")
+    repeated = textkit.written(sent.mapInArrow(textkit.releasing(_repeated(HOT)), "seq bigint, anchor bigint, hot boolean"), "anchors")
     del sent
     _free(spark)
     pick = lambda hot: F.collect_set(F.when(F.col("hot") == hot, F.col("anchor")))
     wanted = repeated.groupBy("seq").agg(pick(False).alias("cold"), pick(True).alias("hot")).join(owner, "seq").select(F.col("doc_id").alias("id"), "seq", "cold", "hot")
     fetched = src.join(wanted, F.col("doc_id") == F.col("id")).select("doc_id", "text", "seq", "cold", "hot")
-    segments = textkit.written(fetched.mapInArrow(_segments(length, GRAM), "shard bigint, segment bigint, data binary, doc_id bigint, start int"), "segments")
+    segments = textkit.written(fetched.mapInArrow(textkit.releasing(_segments(length, GRAM)), "shard bigint, segment bigint, data binary, doc_id bigint, start int"), "segments")
     textkit.drop_written(repeated)
     _free(spark)
     each = segments.groupBy("shard", "segment").agg(F.min("doc_id").alias("doc_id"), F.first("data").alias("data"))
     dealt = each.select("shard", "segment", "data", "doc_id").repartition("shard").sortWithinPartitions("shard")
-    least = dealt.mapInArrow(_search(length), "segment bigint, least array<bigint>")
+    least = dealt.mapInArrow(textkit.releasing(_search(length)), "segment bigint, least array<bigint>")
     # segments that are the first to hold all their windows return nothing
     answers = segments.select("segment", "doc_id", "start").join(least, "segment")
     starts = F.filter(F.transform("least", lambda m, j: F.when(m < F.col("doc_id"), F.col("start") + j)), lambda x: x.isNotNull())
     hits = answers.select("doc_id", starts.alias("starts")).where(F.size("starts") > 0).groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    own = hits.join(owner, "doc_id").select("doc_id", F.struct("seq", F.lit(False).alias("all"), "starts").alias("fate"))
+    # a fate is flat: the text's hash, the number of starts (-1: all words go), the starts
+    zero = F.expr("cast(array() as array<bigint>)")
+    own = hits.join(owner, "doc_id").select("doc_id", F.concat(F.array("seq", F.size("starts").cast("bigint")), F.col("starts").cast("array<bigint>")).alias("fate"))
     copies = known.join(owner.select(F.col("seq").alias("s"), F.col("doc_id").alias("first")), F.col("seq") == F.col("s")).where("first < doc_id").distinct()
-    copies = copies.select("doc_id", F.struct("seq", F.lit(True).alias("all"), F.expr("cast(array() as array<int>)").alias("starts")).alias("fate"))
-    out = textkit.written(own.unionByName(copies).groupBy("doc_id").agg(F.collect_list("fate").alias("fates")), "fates")
+    copies = copies.select("doc_id", F.concat(F.array("seq", F.lit(-1).cast("bigint")), zero).alias("fate"))
+    out = textkit.written(own.unionByName(copies).groupBy("doc_id").agg(F.flatten(F.collect_list("fate")).alias("fates")), "fates")
     textkit.drop_written(segments)
     _free(spark)
     return out
 
 
-def _gone(w: textkit.Words, fates: list, length: int) -> np.ndarray:
+def _gone(w: textkit.Words, fates: pa.Array, length: int) -> np.ndarray:
     """Which words of the batch go."""
     out = np.zeros(len(w), bool)
     seq = sequence_ids(w)
-    for i, own in enumerate(fates):
-        for f in own or ():
-            if f["seq"] == seq[i]:
-                lo, n = int(w.at[i]), int(w.count[i])
-                if f["all"]:
+    for i in np.flatnonzero(fates.is_valid().to_numpy(zero_copy_only=False)).tolist():
+        own, at = fates[i].values.to_numpy(), 0
+        lo, n = int(w.at[i]), int(w.count[i])
+        while at < len(own):
+            k = int(own[at + 1])
+            if own[at] == seq[i]:
+                if k < 0:
                     out[lo : lo + n] = True
                 else:
+                    s = np.unique(own[at + 2 : at + 2 + k])
                     step = np.zeros(n + 1, np.int64)
-                    s = np.unique(np.array(f["starts"], np.int64))
                     np.add.at(step, s, 1)
                     np.add.at(step, s + length, -1)
-                    out[lo : lo + n] = np.cumsum(step)[:n] > 0
+                    out[lo : lo + n] |= np.cumsum(step)[:n] > 0
+            at += 2 + max(0, k)
     return out
 
 
@@ -303,11 +314,8 @@ def _kept_texts(w: textkit.Words, gone: np.ndarray) -> list[bytes]:
     return [data[a : max(a, b - 1)] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
 
 
-FATES = "array<struct<seq:bigint,all:boolean,starts:array<int>>>"
-
-
 def _with_fates(docs: DataFrame, doc_id: str, text: str, length: int) -> DataFrame:
-    fates = removed_windows(_source(docs, doc_id, text), length).select(F.col("doc_id").alias("_id"), F.col("fates").cast(FATES).alias("_fates"))
+    fates = removed_windows(_source(docs, doc_id, text), length).select(F.col("doc_id").alias("_id"), F.col("fates").alias("_fates"))
     textkit.bounded_batches(docs.sparkSession)
     return docs.join(fates, docs[doc_id].cast("bigint") == fates["_id"], "left")
 
@@ -319,13 +327,13 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
         for batch in batches:
             for part in textkit.slices(batch):
                 w = textkit.words(part.column("text"), False)
-                gone = _gone(w, part.column("_fates").to_pylist(), length)
+                gone = _gone(w, part.column("_fates"), length)
                 kept = [hashlib.sha256(x).hexdigest() for x in _kept_texts(w, gone)]
                 removed = np.bincount(w.doc[gone], minlength=len(w.count))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(w.count.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     src = _source(docs, doc_id, text)
-    return _with_fates(src, "doc_id", "text", length).select("doc_id", "text", "_fates").mapInArrow(of, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    return _with_fates(src, "doc_id", "text", length).select("doc_id", "text", "_fates").mapInArrow(textkit.releasing(of), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -341,11 +349,11 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
         for batch in batches:
             for part in textkit.slices(batch, text):
                 w = textkit.words(part.column(text), False)
-                gone = _gone(w, part.column("_fates").to_pylist(), length)
+                gone = _gone(w, part.column("_fates"), length)
                 removed = np.bincount(w.doc[gone], minlength=len(w.count))
                 kept = [o if not r else k.decode("utf-8", "replace") for o, k, r in zip(part.column(text).to_pylist(), _kept_texts(w, gone), removed.tolist(), strict=True)]
                 cols = [part.column(c) for c in names]
                 cols[where] = pa.array(kept, pa.string())
                 yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array((removed == 0) | (removed < w.count)))
 
-    return _with_fates(docs, doc_id, text, length).select(*names, "_fates").mapInArrow(of, docs.schema)
+    return _with_fates(docs, doc_id, text, length).select(*names, "_fates").mapInArrow(textkit.releasing(of), docs.schema)
