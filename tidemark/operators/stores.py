@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,15 +15,38 @@ from tidemark.plans.frame import Series
 NOT_ALLOWED = "writes not allowed"
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder that all executors share, and read back.
+
+    ``spark.checkpoint.dir`` names that folder; only where it is unset, a folder of the
+    warehouse is used.
+    """
+    spark = df.sparkSession
+    top = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+    path = f"{top.rstrip('/')}/store-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 @dataclass
 class Store:
-    """A catalogue and its points.  Operations replace the frames; results are frames of errors."""
+    """A catalogue and its points.  Operations replace the frames; results are frames of errors.
+
+    One operation stays a lazy plan.  Before the next one changes the frames, they are
+    written and read back, so that plans do not grow from operation to operation.
+    """
 
     catalog: DataFrame
     points: DataFrame
     rules: list[ingest.Rule] = field(default_factory=list)
     events: DataFrame | None = None
     conflict: str = "oldest"
+    pending: bool = False
+
+    def _begin(self) -> None:
+        if self.pending:
+            self.catalog, self.points = settled(self.catalog), settled(self.points)
+        self.pending = True
 
     @classmethod
     def empty(cls, spark: SparkSession, rules: list[ingest.Rule] = ()) -> "Store":
@@ -35,18 +59,22 @@ class Store:
     def write(self, batch: DataFrame, now: int) -> DataFrame:
         if "arrival" not in batch.columns:
             batch = batch.withColumn("arrival", F.monotonically_increasing_id())
+        self._begin()
         self.catalog, self.points, out = ingest.write(self.catalog, self.points, batch, self.rules, now, self.conflict)
         return out
 
     def update_metadata(self, changes: DataFrame, behavior: int = cat.UPDATE, create_new: bool = True, now: int | None = None) -> DataFrame:
+        self._begin()
         self.catalog, self.points, out = cat.update_metadata(self.catalog, self.points, changes, behavior, create_new, now)
         return out
 
     def delete_series(self, patterns: list[str]) -> DataFrame:
+        self._begin()
         self.catalog, self.points, out = cat.delete_series(self.catalog, self.points, patterns)
         return out
 
     def rename_series(self, names: list[tuple[str, str]], merge: bool = False, now: int | None = None) -> DataFrame:
+        self._begin()
         self.catalog, self.points, out = cat.rename_series(self.catalog, self.points, names, merge, now)
         return out
 
