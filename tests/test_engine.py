@@ -265,7 +265,7 @@ def test_ring_placement(spark):
 
 
 def test_tables_versions_and_compaction(spark, tmp_path):
-    s = store(spark, ["a.b", "c"], "60:10,600:100")
+    s = store(spark, ["a.b", "c"], "60:10,600:100", xff=0.0)
     s.write(batch(spark, [("a.b", T, 1), ("c", T - 60, 2)]), T)
     p = str(tmp_path / "store")
     assert tables.version(spark, p) == 0 and tables.load(spark, p).points.count() == 0
