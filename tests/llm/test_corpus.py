@@ -67,6 +67,32 @@ def test_near_join_equals_brute_force(docs, rows, chunk, monkeypatch):
     assert got == brute.near(rows)
 
 
+@pytest.mark.parametrize("batch", [1, 2, 5])
+def test_candidates_keep_the_tail_of_a_hot_key(batch, monkeypatch):
+    monkeypatch.setattr(nearjoin, "MEET", 3)
+    sizes = nearjoin.classes(85)
+    base = np.arange(1, 41, dtype=np.uint64)
+    groups = {7 << 6: list(range(10)), 8 << 6: [20, 21], 9 << 6: [30, 31, 32, 33, 34]}
+    k = next(i for i, (least, top, *_) in enumerate(sizes) if least <= 40 <= top)
+    sig = nearjoin.signature(base, sizes)
+    rows = [(key | k, fp, sig) for key, fps in groups.items() for fp in fps]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("key", "fp", "sig"), r, strict=True)) for r in rows[i : i + batch]]) for i in range(0, len(rows), batch)]
+    edges = [(a, b) for out in nearjoin._candidates(sizes, 85)(batches) for a, b in zip(*(out.column(c).to_pylist() for c in "ab"), strict=True)]
+    cls = nearjoin.Classes(np.arange(40))
+    for a, b in edges:
+        if cls.label[a] != cls.label[b]:
+            cls.join(a, b)
+    assert all(len({int(cls.label[x]) for x in fps}) == 1 for fps in groups.values())
+
+
+def test_near_join_with_hot_parts_equals_brute_force(docs, rows, monkeypatch):
+    monkeypatch.setattr(nearjoin, "MEET", 3)
+    bounded = textkit.bounded_batches
+    monkeypatch.setattr(textkit, "bounded_batches", lambda spark, *_: bounded(spark, 2))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nearjoin.classify(docs).collect()}
+    assert got == brute.near(rows)
+
+
 def test_near_join_of_repeated_and_null_ids(spark):
     t = " ".join(map(str, range(30)))
     df = spark.createDataFrame([(5, t), (5, t), (3, t), (None, t), (9, "a b")], "doc_id long, text string")
