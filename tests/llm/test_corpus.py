@@ -201,6 +201,36 @@ def test_brown_without_training_rows(spark):
     assert sorted(r.n_known for r in brown.score(df.selectExpr("doc_id", "text"), model, {"doc_id": "bigint"}).collect()) == [0, 0]
 
 
+@pytest.mark.parametrize("lookup", [1 << 19, 560])
+def test_brown_classes_of_rare_words_follow_contexts(spark, lookup, monkeypatch):
+    """Two languages of 280 frequent words each; 80 rarer words of each are spelled alike."""
+    monkeypatch.setattr(brown, "LOOKUP", lookup)
+    rnd, texts, tails = random.Random(5), [], ([], [])
+    for side in (0, 1):
+        for i in range(80):
+            tails[side].append(f"q{'xy'[side]}{i}zz")
+        for _ in range(600):
+            t = [f"{'ab'[side]}{rnd.randrange(280)}w" for _ in range(60)]
+            for k in range(5, 60, 9):
+                t[k] = rnd.choice(tails[side])
+            texts.append(" ".join(t))
+    model = brown.fit(spark.createDataFrame([(x,) for x in texts], "text string"))
+    hashes = [textkit.words(pa.array([" ".join(t)])).hash.view(np.int64).tolist() for t in tails]
+    of = {r["word"]: r["class"] for r in model.counts.collect()}
+    a, b = ([of[h] for h in hs] for hs in hashes)
+    apart = sum(x not in set(b) for x in a) + sum(x not in set(a) for x in b)
+    assert apart >= 150
+    # the score is that of the model's classes, whether a word's class is broadcast or joined
+    x = texts[0] + " unseen " + texts[-1]
+    w = textkit.words(pa.array([x]))
+    n = {r["word"]: r["n"] for r in model.counts.collect()}
+    c = [of.get(h, int(model.of_bucket[k])) for h, k in zip(w.hash.view(np.int64).tolist(), brown._bucket(w).tolist(), strict=True)] + [brown.CLASSES - 1]
+    logs = [math.log10(n.get(h, 0) + 0.1) for h in w.hash.view(np.int64).tolist()] + [math.log10(model.ends + 0.1)]
+    want = sum(logs) + sum(model.transition[p, q] - model.spread[q] for p, q in zip([brown.CLASSES - 1, *c[:-1]], c, strict=True))
+    (got,) = brown.score(spark.createDataFrame([(1, x)], "doc_id long, text string"), model, {"doc_id": "bigint"}).collect()
+    assert got.score == pytest.approx(want, rel=1e-9)
+
+
 def test_exchange_separates_two_languages():
     b = np.zeros((9, 9))
     b[:4, :4], b[4:8, 4:8] = 50, 50
