@@ -429,3 +429,17 @@ def test_registered_queries_have_all_series_operators():
     from tidemark.plans import queries
 
     assert len(queries.QUERIES) > 110 and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+@pytest.mark.parametrize("name", ["overlay_read", "overlay_read_all", "resample_update_all", "rename_merge_all"])
+def test_store_queries_over_all_events_equal_their_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    from tidemark.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"SET TimeZone = 'UTC'; CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    want = sorted(con.execute(queries.ORACLE_SQL[name]).fetchall())
+    got = sorted(map(tuple, queries.QUERIES[name](spark, sf).collect()))
+    key = 1 if name.startswith("overlay") else 0
+    assert got == want and len({r[key].split(".")[1] for r in got}) > (1 if name.endswith("_all") else 0)

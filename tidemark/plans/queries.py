@@ -319,17 +319,29 @@ stored AS (SELECT key, ts - ts % 3600 AS ts, sum(value) AS value FROM (SELECT ke
 top AS (SELECT key, ts - ts % 3600 AS ts, value FROM (SELECT *, row_number() OVER (PARTITION BY key, ts - ts % 3600 ORDER BY ts DESC, arrival DESC) AS rn FROM b WHERE key IN (SELECT key FROM a)) WHERE rn = 1)
 SELECT 'events.click.*' AS query, key AS name, ts, round(value + 1e-9, 6) AS value FROM (SELECT * FROM top UNION ALL SELECT * FROM stored WHERE (key, ts) NOT IN (SELECT (key, ts) FROM top))""")
 def overlay_read(spark, sf_dir):
-    p = event_points(spark, sf_dir).where(F.col("key").startswith("events.click."))
+    return _overlaid(spark, sf_dir, "events.click.*")
+
+
+def _overlaid(spark, sf_dir, pattern):
+    p = event_points(spark, sf_dir)
     a, b = p.where("arrival % 2 = 0"), p.where("arrival % 2 = 1")
     s = stores.Store(event_catalog(a, "60:1d,3600:90d"), spark.createDataFrame([], cat.POINTS))
     # everything is older than a day but for the newest: written finely, then rolled up
     s.catalog = event_catalog(a, "60:31d,3600:90d")
     s.write(a, NOW)
     s.catalog = event_catalog(a, "60:29d,3600:90d")
-    head, data = s.read(["events.click.*"], START - 1, NOW - 1, NOW)
+    head, data = s.read([pattern], START - 1, NOW - 1, NOW)
     return read.overlay_pending(head, data, b, START - 1, NOW - 1).select("query", "name", "ts", rounded("value").alias("value"))
 
 
+@query("overlay_read_all", f"""WITH {BASE}, a AS (SELECT * FROM e WHERE arrival % 2 = 0), b AS (SELECT * FROM e WHERE arrival % 2 = 1),
+stored AS (SELECT key, ts - ts % 3600 AS ts, sum(value) AS value FROM (SELECT key, ts - ts % 60 AS ts, value FROM (SELECT *, row_number() OVER (PARTITION BY key, ts - ts % 60 ORDER BY ts, arrival DESC) AS rn FROM a) WHERE rn = 1) GROUP BY 1, 2),
+top AS (SELECT key, ts - ts % 3600 AS ts, value FROM (SELECT *, row_number() OVER (PARTITION BY key, ts - ts % 3600 ORDER BY ts DESC, arrival DESC) AS rn FROM b WHERE key IN (SELECT key FROM a)) WHERE rn = 1)
+SELECT 'events.*.*' AS query, key AS name, ts, round(value + 1e-9, 6) AS value FROM (SELECT * FROM top UNION ALL SELECT * FROM stored WHERE (key, ts) NOT IN (SELECT (key, ts) FROM top))""")
+def overlay_read_all(spark, sf_dir):
+    return _overlaid(spark, sf_dir, "events.*.*")
+
+
 RULES = [("events.{click,view}.*", "60:1d", 0.0, "sum"), ("events.**", "300:30d", 0.5, "max"), ("**", "60:90d", 0.0, "average")]
 
 
@@ -350,6 +362,14 @@ def resample_update(spark, sf_dir):
     return _rows(s)
 
 
+@query("resample_update_all", f"""WITH {BASE}, {SLOTS}
+SELECT key, 0 AS tier, 600 AS step, ts - ts % 600 AS ts, round(value + 1e-9, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY key, ts - ts % 600 ORDER BY ts) AS rn FROM slots) WHERE rn = 1""")
+def resample_update_all(spark, sf_dir):
+    s = written(spark, sf_dir, archives="60:31d")
+    s.update_metadata(event_catalog(event_points(spark, sf_dir), "600:31d"), cat.UPDATE, now=NOW)
+    return _rows(s)
+
+
 @query("rename_merge", f"""WITH {BASE}, {SLOTS}, one AS (SELECT ts, value FROM slots WHERE key = 'events.click.u1'), two AS (SELECT ts, value FROM slots WHERE key = 'events.click.u2')
 SELECT 'events.click.u2' AS key, 0 AS tier, 60 AS step, ts, round(value + 1e-9, 6) AS value FROM (SELECT * FROM one UNION ALL SELECT * FROM two WHERE ts NOT IN (SELECT ts FROM one))""")
 def rename_merge(spark, sf_dir):
@@ -360,6 +380,14 @@ def rename_merge(spark, sf_dir):
     return _rows(s)
 
 
+@query("rename_merge_all", f"""WITH {BASE}, {SLOTS}, one AS (SELECT ts, value FROM slots WHERE key = 'events.click.u1'), two AS (SELECT ts, value FROM slots WHERE key = 'events.click.u2')
+SELECT key, 0 AS tier, 60 AS step, ts, round(value + 1e-9, 6) AS value FROM (SELECT 'events.click.u2' AS key, * FROM one UNION ALL SELECT 'events.click.u2', * FROM two WHERE ts NOT IN (SELECT ts FROM one) UNION ALL SELECT key, ts, value FROM slots WHERE key NOT IN ('events.click.u1', 'events.click.u2'))""")
+def rename_merge_all(spark, sf_dir):
+    s = written(spark, sf_dir, archives="60:31d")
+    s.rename_series([("events.click.u1", "events.click.u2")], merge=True, now=NOW)
+    return _rows(s)
+
+
 @query("delete_glob", f"WITH {BASE}, {SLOTS} SELECT key, 0 AS tier, 60 AS step, ts, round(value + 1e-9, 6) AS value FROM slots WHERE NOT regexp_matches(key, '^events\\.click\\.u1[^.]+$') AND key NOT LIKE 'events.view.%'")
 def delete_glob(spark, sf_dir):
     s = written(spark, sf_dir, archives="60:31d")
