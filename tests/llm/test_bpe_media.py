@@ -114,3 +114,31 @@ def test_media_columns_of_faulty_files(spark):
     assert rows[1].error == "" and rows[1].n_samples == 40 and [k.length for k in rows[1].keyframes] == [64, 64, 64]
     assert rows[2].error and rows[4].error
     assert rows[3].codec is None and rows[3].error == "" and rows[5].n_samples == 0
+
+
+def test_media_columns_of_all_tracks_fragments_and_compact_sizes(spark):
+    """Sound first, then video with compact sizes and two fragments."""
+    full, box = media.full, media.box
+
+    def trak(number, handler, codec, *tables):
+        stbl = box(b"stbl", full(b"stsd", struct.pack(">I", 1), box(codec, bytes(78))), *tables)
+        mdia = box(b"mdia", full(b"mdhd", struct.pack(">4I", 0, 0, 1000, 30)), full(b"hdlr", bytes(4), handler, bytes(12)), box(b"minf", stbl))
+        return box(b"trak", full(b"tkhd", struct.pack(">4I", 0, 0, number, 0)), mdia)
+
+    sizes = full(b"stz2", bytes(3), b"\x04", struct.pack(">I", 3), b"\x35\x20")
+    video = trak(2, b"vide", b"avc1", sizes, full(b"stsc", struct.pack(">4I", 1, 1, 3, 1)), full(b"stco", struct.pack(">2I", 1, 900)))
+    moov = box(b"moov", trak(1, b"soun", b"mp4a"), video, box(b"mvex", full(b"trex", struct.pack(">5I", 2, 1, 10, 7, 0x10000))))
+    tfhd = full(b"tfhd", struct.pack(">I", 2), flags=0x20000)
+    one = box(b"moof", box(b"traf", tfhd, full(b"trun", struct.pack(">IiI", 2, 200, 0), flags=5), full(b"trun", struct.pack(">I2I", 1, 40, 9), flags=0x300)))
+    blob = moov + one + box(b"mdat", bytes(400))
+    (sound, picture), error = media.inspect(blob)
+    start = len(moov) + 200
+    assert error == "" and (sound.handler, sound.codec, len(sound.sizes)) == ("soun", "mp4a", 0)
+    assert picture.sizes.tolist() == [3, 5, 2, 7, 7, 9] and picture.duration == 30 + 10 + 10 + 40
+    assert picture.offsets.tolist() == [900, 903, 908, start, start + 7, start + 14]
+    assert [x.tolist() for x in picture.keyframes] == [[900, 903, 908, start], [3, 5, 2, 7]]
+    broken = moov + box(b"moof", box(b"traf", full(b"tfhd", struct.pack(">I", 9))))
+    df = spark.createDataFrame([(1, bytearray(blob)), (2, bytearray(broken)), (3, None)], "id long, blob binary")
+    rows = {r.id: r for r in media.media_columns(df, "blob", ["id"]).collect()}
+    assert [(t.handler, t.codec, t.n_samples, len(t.keyframes)) for t in rows[1].tracks] == [("soun", "mp4a", 0, 0), ("vide", "avc1", 6, 4)]
+    assert rows[1].codec == "mp4a" and rows[1].error == "" and rows[2].error and rows[3].tracks == []

@@ -1,9 +1,9 @@
 """ISO base media containers: write 8-bit sample tracks, walk boxes, decode sample tables.
 
 ``wrap`` stores bytes losslessly as a raw 8-bit sample track.  ``inspect`` reads
-any container of nested boxes: it decodes the sample tables of every track and
-returns codec, duration and the byte range of each keyframe, without touching the
-payload.  ``read_samples`` returns a track's stored bytes by its sample tables.
+any container of nested boxes: it decodes the sample tables and movie fragments of
+every track and returns codec, duration and the byte range of each keyframe, without
+touching the payload.  ``read_samples`` returns a track's stored bytes by its sample tables.
 
 Defined results: a null blob counts as empty and has no tracks; a truncated or
 malformed box ends the walk of its parent, what was read before it is kept and
@@ -145,6 +145,16 @@ def _decode(boxes: dict[bytes, tuple[int, int]], data: memoryview) -> Track:
         if size and n > len(data):
             raise ValueError("more samples than bytes")
         t.sizes = np.full(n, size, np.int64) if size else _table(data, a + 12, e, n, ">u4")
+    elif b"stz2" in boxes:
+        a, e = boxes[b"stz2"]
+        bits, n = data[a + 7], struct.unpack_from(">I", data, a + 8)[0]
+        if bits not in (4, 8, 16):
+            raise ValueError(f"sample sizes of {bits} bits")
+        if bits == 4:
+            pairs = _table(data, a + 12, e, -(-n // 2), ">u1")
+            t.sizes = np.stack([pairs >> 4, pairs & 15], 1).reshape(-1)[:n]
+        else:
+            t.sizes = _table(data, a + 12, e, n, f">u{bits // 8}")
     if b"stss" in boxes:
         a, e = boxes[b"stss"]
         t.sync = _table(data, a + 8, e, struct.unpack_from(">I", data, a + 4)[0], ">u4")
@@ -166,17 +176,85 @@ def _decode(boxes: dict[bytes, tuple[int, int]], data: memoryview) -> Track:
     return t
 
 
+def _track_id(boxes: dict[bytes, tuple[int, int]], data: memoryview) -> int:
+    if b"tkhd" not in boxes:
+        return 0
+    a, _ = boxes[b"tkhd"]
+    return struct.unpack_from(">I", data, a + (20 if data[a] == 1 else 12))[0]
+
+
+def _fragment(t: Track, trex: tuple, moof: int, follow: int, traf: list[tuple[bytes, int, int]], data: memoryview) -> int:
+    """Add the samples of one track fragment; returns where its data ends.
+
+    ``trex``: default duration, size and flags; ``follow``: where the data of the fragment before it ends.
+    """
+    _, a, e = next(x for x in traf if x[0] == b"tfhd")
+    flags = struct.unpack_from(">I", data, a)[0] & 0xFFFFFF
+    at, base = a + 8, moof if flags & 0x20000 else follow
+    if flags & 1:
+        (base,) = struct.unpack_from(">Q", data, at)
+        at += 8
+    at += 4 if flags & 2 else 0
+    default = list(trex)
+    for k, bit in enumerate((8, 16, 32)):
+        if flags & bit:
+            (default[k],) = struct.unpack_from(">I", data, at)
+            at += 4
+    if at > e:
+        raise ValueError(f"fragment header at {a} does not fit its box")
+    for kind, a, e in traf:
+        if kind != b"trun":
+            continue
+        flags, n = struct.unpack_from(">II", data, a)
+        at, flags, start = a + 8, flags & 0xFFFFFF, follow
+        if flags & 1:
+            start = base + struct.unpack_from(">i", data, at)[0]
+            at += 4
+        elif not any(x[0] == b"trun" and x[1] < a for x in traf):
+            start = base
+        first = None
+        if flags & 4:
+            (first,) = struct.unpack_from(">I", data, at)
+            at += 4
+        given = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+        if not given and n > len(data):
+            raise ValueError("more samples than bytes")
+        rows = _table(data, at, e, n, ">u4", len(given)).reshape(n, len(given)) if given else None
+        duration, size, mark = (rows[:, given.index(bit)] if flags & bit else np.full(n, default[k], np.int64) for k, bit in enumerate((0x100, 0x200, 0x400)))
+        if first is not None and n:
+            mark = np.append(first, mark[1:])
+        had = len(t.sizes)
+        if t.sync is None:
+            t.sync = np.arange(1, had + 1)
+        t.sync = np.append(t.sync, had + 1 + np.flatnonzero(mark & 0x10000 == 0))
+        t.offsets = np.append(t.offsets, start + np.cumsum(size) - size)
+        t.sizes = np.append(t.sizes, size)
+        t.duration += int(duration.sum())
+        follow = start + int(size.sum())
+    return follow
+
+
 def inspect(blob: bytes | None) -> tuple[list[Track], str]:
     """Tracks of a container, and the first fault met ('' if none)."""
     data, tracks, error = memoryview(blob or b""), [], ""
     open_: dict[bytes, tuple[int, int]] | None = None
     found: list[dict] = []
+    defaults: list[tuple[int, int]] = []
+    moofs: list[tuple[int, list]] = []
     try:
         for path, a, e in walk(data, 0, len(data)):
             if path[-1] == b"trak":
                 found.append(open_ := {})
             elif open_ is not None and b"trak" in path:
                 open_.setdefault(path[-1], (a, e))
+            elif path[-1] == b"trex":
+                defaults.append((a, e))
+            elif path == (b"moof",):
+                moofs.append((a - (16 if data[a - 12 : a - 8] == b"moof" else 8), []))
+            elif path == (b"moof", b"traf"):
+                moofs[-1][1].append([])
+            elif path[:2] == (b"moof", b"traf") and path[-1] in (b"tfhd", b"trun"):
+                moofs[-1][1][-1].append((path[-1], a, e))
     except ValueError as x:
         error = str(x)
     for boxes in found:
@@ -185,6 +263,25 @@ def inspect(blob: bytes | None) -> tuple[list[Track], str]:
         except (ValueError, struct.error, IndexError) as x:
             error = error or str(x)
             tracks.append(Track())
+    if not moofs:
+        return tracks, error
+    try:
+        ids = {_track_id(b, data): t for b, t in zip(found, tracks, strict=True)}
+        trex = {x[0]: x[2:] for x in (struct.unpack_from(">5I", data, a + 4) for a, _ in defaults)}
+        for t in tracks:
+            # all ones: not known
+            t.duration = 0 if t.duration in (2**32 - 1, 2**64 - 1) else t.duration
+        for start, trafs in moofs:
+            follow = start
+            for traf in trafs:
+                if not any(k == b"tfhd" for k, *_ in traf):
+                    raise ValueError(f"fragment at {start} has no header")
+                own = struct.unpack_from(">I", data, next(a for k, a, _ in traf if k == b"tfhd") + 4)[0]
+                if own not in ids:
+                    raise ValueError(f"fragment of unknown track {own}")
+                follow = _fragment(ids[own], trex.get(own, (0, 0, 0)), start, follow, traf, data)
+    except (ValueError, struct.error, IndexError) as x:
+        error = error or str(x)
     return tracks, error
 
 
@@ -215,10 +312,20 @@ def _ranges(tracks: list[Track | None]) -> pa.Array:
 
 
 def media_columns(df: DataFrame, blob: str, keep: list[str]) -> DataFrame:
-    """First track of each container: codec, timescale, duration, samples and keyframe byte ranges.
+    """All tracks of each container: handler, codec, timescale, duration, samples and keyframe byte ranges.
 
-    One row per input row with the columns ``keep``; ``error`` is '' for a sound file.
+    One row per input row with the columns ``keep``; the first track has columns of its
+    own beside ``tracks``; ``error`` is '' for a sound file.
     """
+    TRACK = "struct<handler:string,codec:string,timescale:bigint,duration:bigint,n_samples:bigint,keyframes:array<struct<start:bigint,length:bigint>>>"
+
+    def all_tracks(rows: list[list[Track]]) -> pa.Array:
+        flat = [t for r in rows for t in r]
+        at = pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32))
+        text = [pa.array([getattr(t, k) for t in flat], pa.string()) for k in ("handler", "codec")]
+        number = [pa.array([getattr(t, k) for t in flat], pa.int64()) for k in ("timescale", "duration")]
+        fields = [*text, *number, pa.array([len(t.sizes) for t in flat], pa.int64()), _ranges(flat)]
+        return pa.ListArray.from_arrays(at, pa.StructArray.from_arrays(fields, ["handler", "codec", "timescale", "duration", "n_samples", "keyframes"]))
 
     def of(batches):
         for b in batches:
@@ -231,13 +338,14 @@ def media_columns(df: DataFrame, blob: str, keep: list[str]) -> DataFrame:
                 pa.array([len(t.sizes) if t else 0 for t in first], pa.int64()),
                 _ranges(first),
                 pa.array([e for _, e in rows], pa.string()),
+                all_tracks([t for t, _ in rows]),
             ]
-            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "codec", "timescale", "duration", "n_samples", "keyframes", "error"])
+            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "codec", "timescale", "duration", "n_samples", "keyframes", "error", "tracks"])
 
     textkit.bounded_batches(df.sparkSession)
     src = df.select(*keep, df[blob].cast("binary").alias("_blob"))
     types = ", ".join(f"`{k}` {src.schema[k].dataType.simpleString()}" for k in keep)
-    return src.mapInArrow(textkit.releasing(of), f"{types}, codec string, timescale bigint, duration bigint, n_samples bigint, keyframes array<struct<start:bigint,length:bigint>>, error string")
+    return src.mapInArrow(textkit.releasing(of), f"{types}, codec string, timescale bigint, duration bigint, n_samples bigint, keyframes array<struct<start:bigint,length:bigint>>, error string, tracks array<{TRACK}>")
 
 
 def stored_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
