@@ -177,6 +177,26 @@ def test_licenses(spark):
         assert any(k[0] == d and k[1] == len(w) for k in by)
 
 
+def test_wrapped_licenses(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    filler = "some other words " * 50
+    rows = [(1, bsd), (2, filler + "\n * ".join(bsd.split()) + "\n" + filler), (3, bsd.replace("\n", "\n" + "some other words\n" * 50)), (4, None), (5, "licensed\nunder\nCC BY\n4.0"), (6, "released under the mit license")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in setjoin.license_labels(df, wrapped=True).collect()}
+    assert "bsd" in got[1] and "bsd" in got[2] and got[3] == "" and got[4] == "" and "cc-by-4.0" in got[5] and "mit-notice" in got[6]
+
+
+def test_wrapped_licenses_equal_their_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from tidemark.llm import queries
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    want = con.execute(queries.ORACLE_SQL["op5_license_wrapped"]).fetchall()
+    got = list(map(tuple, queries.QUERIES["op5_license_wrapped"](spark, "/root/testdata/sf0.001").collect()))
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("lookup", [1 << 19, 5])
 def test_brown_base_score_and_distribution(spark, rows, docs, lookup, monkeypatch):
     monkeypatch.setattr(brown, "LOOKUP", lookup)

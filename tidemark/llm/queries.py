@@ -52,6 +52,10 @@ def op5_license(spark, sf_dir):
     return setjoin.license_labels(documents(spark, sf_dir))
 
 
+def op5_license_wrapped(spark, sf_dir):
+    return setjoin.license_labels(documents(spark, sf_dir), wrapped=True)
+
+
 def op7_nearjoin(spark, sf_dir):
     return nearjoin.classify(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "links")
 
@@ -64,5 +68,5 @@ def op10_media(spark, sf_dir):
     return media.stored_texts(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_brown, op3_bpe, op4_langid, op5_license, op6_toxicity, op7_nearjoin, op8_substring, op9_quality, op10_media)}
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": decontaminate.oracle(), "op5_license": setjoin.oracle()}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_brown, op3_bpe, op4_langid, op5_license, op5_license_wrapped, op6_toxicity, op7_nearjoin, op8_substring, op9_quality, op10_media)}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": decontaminate.oracle(), "op5_license": setjoin.oracle(), "op5_license_wrapped": setjoin.wrapped_oracle()}

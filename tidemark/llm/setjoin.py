@@ -1,6 +1,8 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-A block is a line.  Block b matches template t when |t & b| >= threshold * |t| over
+A block is a line; with ``wrapped`` also each window of 2 n words that starts at a
+multiple of n, n being the number of words of the template, so that a notice is found
+however its lines are broken or commented.  Block b matches template t when |t & b| >= threshold * |t| over
 distinct words.  Words are ordered by their frequency in all blocks, rarest first, so
 
 * prefix: a match shares one of the first |t| - o + 1 words of t (o: overlap needed),
@@ -123,6 +125,32 @@ def matches(p: Plan, texts: DataFrame) -> DataFrame:
     return hit.groupBy("key").agg(F.array_sort(F.collect_set("hit")).cast(HITS).alias("hits"))
 
 
+def windows(p: Plan, texts: DataFrame, templates) -> DataFrame:
+    """key and hits of each text with a window of 2 n words that matches a template of n words; ``block`` is the window's number.
+
+    A match holds a prefix word of its template, so only the windows around those are read.
+    """
+    spark = texts.sparkSession
+    length = {label: len(_tokens(t)) for t, label in templates}
+    reach = 2 * max(length.values())
+    word = {r: w for w, r in p.rank.items()}
+    rows = [(word[r], label, [word[x] for x in ranks], length[label], need) for label, ranks, need, n in p.templates for r in ranks[:n]]
+    heads = spark.createDataFrame(rows, "x string, label string, words array<string>, n int, need int")
+    prefix = F.array(*map(F.lit, p.prefix_words))
+    w = texts.select("key", words(F.col("text")).alias("w")).where(F.arrays_overlap("w", prefix))
+    # each prefix word with the words around it, not with its whole text
+    around = F.transform("w", lambda x, i: F.when(F.array_contains(prefix, x), F.struct(x.alias("x"), i.alias("at"))))
+    near = w.select("key", "w", F.filter(around, lambda x: x.isNotNull()).alias("a"))
+    low = lambda x: F.greatest(x["at"] - (reach - 1), F.lit(0))
+    near = near.select("key", F.explode(F.transform("a", lambda x: F.struct(x["x"].alias("x"), x["at"].alias("at"), low(x).alias("low"), F.slice(F.col("w"), low(x) + 1, 2 * reach).alias("ctx")))).alias("c")).select("key", "c.*")
+    met = near.join(F.broadcast(heads), "x")
+    last = F.floor(F.col("at") / F.col("n")).cast("int")
+    met = met.select("*", F.explode(F.filter(F.array(last - 1, last), lambda k: k >= 0)).alias("k"))
+    own = F.slice("ctx", (F.col("k") * F.col("n") - F.col("low") + 1).cast("int"), (F.col("n") * 2).cast("int"))
+    hit = met.select("key", "need", F.struct(F.col("k").alias("block"), "label", F.size(F.array_intersect("words", own)).alias("overlap"), F.size("words").alias("size")).alias("hit"))
+    return hit.where(F.col("hit.overlap") >= F.col("need")).groupBy("key").agg(F.array_sort(F.collect_set("hit")).cast(HITS).alias("hits"))
+
+
 def places(phrase: str, w: Column) -> Column:
     """Starts, from 0, of the places where the phrase's words stand consecutively."""
     parts = _tokens(phrase)
@@ -137,11 +165,14 @@ def places(phrase: str, w: Column) -> Column:
     return F.when(F.array_contains(w, parts[0]) & (F.size(w) >= len(parts)), F.filter(F.sequence(F.lit(0), F.size(w) - len(parts)), here)).otherwise(none)
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=TEMPLATES, phrases=PHRASES, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=TEMPLATES, phrases=PHRASES, threshold: tuple[int, int] = THRESHOLD, wrapped: bool = False) -> DataFrame:
     """doc_id, n_words, places (array<struct<label, start>>) and hits (HITS: block, label, shared and all words of the template) of every row."""
     src = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), lowered(docs[text]).alias("text")).withColumn("key", F.xxhash64("text"))
     p = plan(src, "text", templates, threshold)
     found = matches(p, src.select("key", "text"))
+    if wrapped:
+        more = windows(p, src.select("key", "text"), templates)
+        found = found.unionByName(more).groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"))
     main = src.select("doc_id", "key", words(F.col("text")).alias("w"))
     w = F.col("w")
 
@@ -170,6 +201,22 @@ def license_labels(docs: DataFrame, **how) -> DataFrame:
     )
 
 
+def wrapped_oracle() -> str:
+    """DuckDB SQL for ``license_labels(documents, wrapped=True)``: every line and every window against every template."""
+    n = ", ".join(f"('{label}', {len(_tokens(t))})" for t, label in TEMPLATES)
+    up, down = THRESHOLD
+    lines = "hits AS ("
+    windows = f"""lengths(label, n) AS (VALUES {n}),
+spots AS (SELECT doc_id, label, t, list_distinct(w[k * n + 1 : k * n + 2 * n]) AS b FROM (SELECT doc_id, w, label, t, n, unnest(range((len(w) + n - 1) // n)) AS k FROM d, templates JOIN lengths USING (label))),
+shares AS (SELECT doc_id, label, len(list_intersect(t, b)) / len(t) AS share FROM spots WHERE {down} * len(list_intersect(t, b)) >= {up} * len(t)
+UNION ALL SELECT doc_id, label, len(list_intersect(t, b)) / len(t) FROM blocks, templates WHERE {down} * len(list_intersect(t, b)) >= {up} * len(t)),
+hits AS (SELECT doc_id, list_sort(list_distinct(list(label))) AS labels, max(share) AS share FROM shares GROUP BY doc_id)
+"""
+    sql = oracle()
+    at = sql.index(lines)
+    return sql[:at] + windows + sql[sql.index("SELECT d.doc_id, len(w)", at) :]
+
+
 def oracle() -> str:
     """DuckDB SQL for ``license_labels(documents)``: every line against every template."""
     fold = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
