@@ -289,6 +289,19 @@ def test_marginals_equal_enumeration():
         assert np.allclose(p[lo:hi], on / total)
 
 
+def test_marginals_in_parts_equal_the_whole(monkeypatch):
+    rnd = np.random.default_rng(6)
+    emit, trans, first = rnd.normal(0, 1.5, 5000), rnd.normal(0, 1, (2, 2)), rnd.random(5000) < 0.01
+    first[0] = True
+    whole = toxicity.marginals(emit, first, trans)
+    monkeypatch.setattr(toxicity, "AT_ONCE", 300)
+    assert all(np.allclose(x, y, rtol=1e-9) for x, y in zip(whole, toxicity.marginals(emit, first, trans), strict=True))
+
+
+def test_toxicity_sample_is_not_lowered():
+    assert toxicity.SAMPLE == 2000 and toxicity.CLEAN_COST == 3
+
+
 def labelled(spark, kind):
     rows, labels = [], []
     for i in range(240):

@@ -38,15 +38,17 @@ from pyspark.sql import functions as F
 from . import textkit
 from .textkit import U64
 
-SAMPLE = 1000
+SAMPLE = 2000
 SAMPLE_BYTES = 1 << 16
 BITS = 18
 PREFIXES = (3, 4, 5, 6)
 RUN = 256
+#: Tokens whose marginals are computed together, whole texts at least.
+AT_ONCE = 1 << 17
 STEPS = 40
 #: Largest probability of meeting a word by chance in toxic documents only.
 CHANCE = 1e-6
-CLEAN_COST = 8
+CLEAN_COST = 3
 
 
 def _tokens(texts: pa.Array) -> textkit.Words:
@@ -140,10 +142,24 @@ def marginals(emit: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[n
 
     ``emit``: toxic minus clean score; ``first``: where texts begin; ``trans``: 2x2 scores from row to column.
     """
-    e, t = np.exp(np.clip(emit, -40, 40)), np.exp(trans)
     n = len(emit)
     if not n:
         return emit, emit, emit
+    # texts do not touch each other, so long input goes a few at a time
+    starts = np.flatnonzero(first)
+    cuts = starts[np.unique(np.searchsorted(starts, np.arange(AT_ONCE, n, AT_ONCE), "left").clip(0, len(starts) - 1))]
+    cuts = cuts[cuts > 0]
+    if len(cuts):
+        out = np.empty((3, n))
+        for lo, hi in zip(np.append(0, cuts).tolist(), np.append(cuts, n).tolist(), strict=True):
+            out[:, lo:hi] = _marginals(emit[lo:hi], first[lo:hi], trans)
+        return out[0], out[1], out[2]
+    return _marginals(emit, first, trans)
+
+
+def _marginals(emit: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    e, t = np.exp(np.clip(emit, -40, 40)), np.exp(trans)
+    n = len(emit)
     last = np.append(first[1:], True)
     fwd = np.stack([e * t[1, 1], e * t[0, 1], np.full(n, t[1, 0]), np.full(n, t[0, 0])], 1)
     fwd[first] = np.stack([np.zeros(n), e, np.zeros(n), np.ones(n)], 1)[first]
@@ -172,6 +188,14 @@ class Field:
         return marginals(weigh(self.weights, f), first, self.trans)[0]
 
 
+def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distinct pairs in order, one a row."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    fresh = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.zeros(0, bool)
+    return np.stack([a[fresh], b[fresh]], 1)
+
+
 def label_tokens(keys: list[np.ndarray], doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Token labels explained from document labels; see the module's text.  ``keys``: hashes of words, then of their prefixes."""
     before = np.append(U64(0), keys[0][:-1])
@@ -181,7 +205,7 @@ def label_tokens(keys: list[np.ndarray], doc: np.ndarray, toxic: np.ndarray) ->
     member: dict[int, np.ndarray] = {}
     for k, h in enumerate(keys):
         ok = h != 0
-        pair = np.unique(np.stack([h[ok] + U64(k), doc[ok].astype(U64)], 1), axis=0)
+        pair = _distinct(h[ok] + U64(k), doc[ok].astype(U64))
         bad = toxic[pair[:, 1].astype(np.int64)]
         neg, n_neg = np.unique(pair[~bad, 0], return_counts=True)
         cut = pair[bad]
@@ -191,7 +215,7 @@ def label_tokens(keys: list[np.ndarray], doc: np.ndarray, toxic: np.ndarray) ->
         # almost never in clean documents, for the share of the classes in the sample
         good = (n >= 2) & (c * max(1, toxic.sum()) * 50 <= n * max(1, (~toxic).sum()))
         spots = ok & toxic[doc]
-        near = np.unique(np.stack([h[spots] + U64(k), before[spots]], 1), axis=0)[:, 0]
+        near = _distinct(h[spots] + U64(k), before[spots])[:, 0]
         contexts = np.searchsorted(near, f, "right") - np.searchsorted(near, f, "left")
         sure = good & (c == 0) & (np.minimum(contexts, n) * rate < np.log(CHANCE))
         chosen += f[sure].tolist()
