@@ -87,8 +87,8 @@ def test_candidates_keep_the_tail_of_a_hot_key(batch, monkeypatch):
 
 def test_near_join_with_hot_parts_equals_brute_force(docs, rows, monkeypatch):
     monkeypatch.setattr(nearjoin, "MEET", 3)
-    bounded = textkit.bounded_batches
-    monkeypatch.setattr(textkit, "bounded_batches", lambda spark, *_: bounded(spark, 2))
+    of = textkit.batches_of
+    monkeypatch.setattr(textkit, "batches_of", lambda spark, _: of(spark, 2))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in nearjoin.classify(docs).collect()}
     assert got == brute.near(rows)
 
@@ -113,13 +113,20 @@ def test_part_keys_always_meet():
                 assert set(nearjoin.part_keys(x, sizes).tolist()) & set(nearjoin.part_keys(y, sizes).tolist())
 
 
-@pytest.mark.parametrize("hot,shard", [(1000, 300_000), (3, 50)])
-def test_substring_equals_brute_force(docs, rows, hot, shard, monkeypatch):
+@pytest.mark.parametrize("hot,shard,keys", [(1000, 2 << 20, 1000), (3, 300, 20)])
+def test_substring_equals_brute_force(docs, rows, hot, shard, keys, monkeypatch):
+    """Small limits make anchors wide, shards many and copies hot."""
     monkeypatch.setattr(substring, "HOT", hot)
     monkeypatch.setattr(substring, "SHARD", shard)
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.digests(docs).collect()}
+    monkeypatch.setattr(textkit, "HOT_KEYS", keys)
+    found = substring.digests(docs).collect()
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in found}
     want = brute.kept_words(rows)
     assert got == {d: (len(w), len(w) - len(k), brute.sha(k)) for d, (w, k) in want.items()}
+    for r in found:
+        words, kept = want[r.doc_id]
+        gone = {i for s in r.removed for i in range(s.start, s.end)}
+        assert [x for i, x in enumerate(words) if i not in gone] == kept
     kept = {r.doc_id: r.text for r in substring.remove(docs).collect()}
     source = dict(rows)
     assert kept == {d: source[d] if len(w) == len(k) else " ".join(k) for d, (w, k) in want.items() if k or not w}
@@ -134,17 +141,89 @@ def test_substring_of_repeated_and_null_ids(spark):
     assert substring.digests(df.limit(0)).count() == 0
 
 
+def colliding_words(bits=32, n=400_000):
+    """Pairs of unlike words whose hashes agree in their upper half."""
+    names = [f"n{i}" for i in range(n)]
+    h = textkit.words(pa.array([" ".join(names)]), False).hash >> np.uint64(64 - bits)
+    order = np.argsort(h)
+    same = np.flatnonzero(h[order][1:] == h[order][:-1])
+    return [(names[order[i]], names[order[i + 1]]) for i in same.tolist()]
+
+
+def test_substring_tells_words_apart_whose_hashes_agree_in_part(spark):
+    pairs = colliding_words()
+    assert len(pairs) >= 13
+    one, two = ([p[k] for p in pairs[:13]] for k in (0, 1))
+    tail = "a b c d e f g h i j k".split()
+    rows = [(i, " ".join([*x, *tail])) for i, x in enumerate((one, two))]
+    got = {r.doc_id: r.n_removed for r in substring.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: len(w) - len(k) for d, (w, k) in brute.kept_words(rows).items()} == {0: 0, 1: 0}
+
+
+def test_hashes_do_not_depend_on_how_a_text_is_cut(rows, monkeypatch):
+    texts = pa.array([t for _, t in rows], pa.string())
+    w = textkit.words(texts)
+    h, g, s = w.hash, textkit.grams(w.hash, 4), textkit.sequence_ids(w)
+    monkeypatch.setattr(textkit, "SLICE_BYTES", 100)
+    w = textkit.words(texts)
+    assert (w.hash == h).all() and (textkit.grams(h, 4) == g).all() and (textkit.sequence_ids(w) == s).all()
+
+
+def test_summary_keeps_common_numbers(monkeypatch):
+    monkeypatch.setattr(substring, "FREQUENT", 16)
+    rnd, common, all_ = np.random.default_rng(4), substring.Summary(), []
+    for _ in range(20):
+        x = np.concatenate([np.full(30, 7), rnd.integers(0, 10_000, 100)])
+        common.add(x)
+        all_ += x.tolist()
+    n = dict(zip(common.number.tolist(), common.count.tolist(), strict=True))
+    assert len(n) <= 16 and common.total == len(all_) and all_.count(7) - len(all_) / 16 <= n[7] <= all_.count(7)
+
+
+def test_join_by_hot_keys_equals_a_plain_join(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, 0 if i % 3 else i) for i in range(300)] + [(999, None)], "x long, k long")
+    per = rows.where("k IS NOT NULL").groupBy("k").count().withColumnRenamed("count", "n").selectExpr("k", "n", "k + 1 AS y")
+    want = sorted(map(tuple, rows.join(per.drop("n"), "k").collect()))
+    for keys in (1, 10, 1000):
+        monkeypatch.setattr(textkit, "HOT_KEYS", keys)
+        assert sorted(map(tuple, textkit.joined_by(rows, per, "k").collect())) == want
+
+
 def test_fm_index_counts():
     rnd = np.random.default_rng(1)
-    seqs = [rnd.integers(0, 4, rnd.integers(5, 40)).astype(np.uint32) for _ in range(50)]
-    fm = fmindex.FMIndex(seqs, 8)
+    seqs = [rnd.integers(0, 4, rnd.integers(5, 40)) for _ in range(50)]
+    fm = fmindex.FMIndex(np.concatenate(seqs), np.array([len(s) for s in seqs]), 8)
     for length in (1, 3, 8):
-        pats = np.stack([s[:length] for s in seqs if len(s) >= length] + [np.full(length, 9, np.uint32)])
+        pats = np.stack([s[:length] for s in seqs if len(s) >= length] + [np.array([0, 1, 2, 3, 3, 2, 1, 0])[:length]])
         lo, hi = fm.intervals(pats)
         for p, n in zip(pats, hi - lo, strict=True):
             assert n == sum((s[i : i + length] == p).all() for s in seqs for i in range(len(s) - length + 1))
 
 
+def test_matching_statistics_equal_brute_force():
+    rnd = np.random.default_rng(2)
+    seqs = [rnd.integers(0, 3, rnd.integers(8, 30)) for _ in range(40)]
+    value = rnd.integers(0, 12, 40)
+    size = np.array([len(s) for s in seqs])
+    stream, doc = np.concatenate(seqs), np.repeat(np.arange(40), size)
+    within = np.arange(len(stream)) - np.repeat(np.cumsum(size) - size, size)
+    ends = np.flatnonzero(within >= 5)
+    got = fmindex.FMIndex(stream, size, 6).matching_statistics(stream, ends, value, value[doc[ends]])
+    for e, n in zip(ends.tolist(), got.tolist(), strict=True):
+        below = [s.tolist() for s, v in zip(seqs, value, strict=True) if v < value[doc[e]]]
+        fits = [k for k in range(1, 7) if any(stream[e - k + 1 : e + 1].tolist() == s[i : i + k] for s in below for i in range(len(s)))]
+        assert n == max(fits, default=0)
+
+
+def test_range_minimum():
+    rnd = np.random.default_rng(3)
+    for n in (1, 2, 3, 17, 64):
+        x = rnd.integers(0, 50, n)
+        pairs = [(a, b) for a in range(n) for b in range(a + 1, n + 1)]
+        lo, hi = map(np.array, zip(*pairs, strict=True))
+        assert fmindex.RangeMinimum(x).least(lo, hi).tolist() == [x[a:b].min() for a, b in pairs]
+
+
 def test_decontamination_equals_brute_force(spark, docs, rows):
     source = dict(rows)
     items = [(1, source[3][:300]), (2, "unseen words here that no document has at all"), (3, "ONE, two"), (4, None), (5, ""), (6, source[210]), (7, source[3][:300]), (8, "gnu")]

@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by a rank file.
 
 A text is split by the tokenizer's pattern.  Each distinct piece is merged once
-per worker: a segment tree over its byte positions holds, for every live
+per task: a segment tree over its byte positions holds, for every live
 position, the rank of the pair that starts there; the root is the leftmost pair of
 lowest rank.  A merge rewrites two leaves (the merged position and its left
 neighbour) and clears a third, each in logarithmic time.
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -44,16 +44,22 @@ class Vocabulary:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        pairs = {}
+        left, right, joined = [], [], []
         for token, i in ranks.items():
             for k in range(1, len(token)):
                 a, b = ranks.get(token[:k]), ranks.get(token[k:])
                 if a is not None and b is not None:
-                    pairs[a << 32 | b] = i
-        self.pairs = pairs
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.joined = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
-        self.decimal = {i: b"%d" % i for i in self.tokens}
+                    left.append(a)
+                    right.append(b)
+                    joined.append(i)
+        keys = np.array(left, np.int64) << 32 | np.array(right, np.int64)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.joined = keys[order], np.array(joined, np.int64)[order]
+
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """The pairs as a dictionary, for pieces that are merged alone."""
+        return dict(zip(self.keys.tolist(), self.joined.tolist(), strict=True))
 
     @classmethod
     def read(cls, path: str) -> "Vocabulary":
@@ -210,7 +216,7 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
-    """One encoder per worker process."""
+    """One encoder per task."""
     return Encoder(Vocabulary.read(path), pattern)
 
 
@@ -223,7 +229,9 @@ def _each(path: str, pattern: str, row, names: list[str]):
                     ids = enc.encode([x or "" for x in part.column("text").to_pylist()])
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), *row(enc, ids)], names=names)
         finally:
-            enc.seen = {}  # the worker keeps the vocabulary, not the pieces
+            # workers live on: what one task needed would add to the next one's
+            del enc
+            encoder.cache_clear()
 
     return of
 
@@ -261,10 +269,9 @@ def digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", te
     """Encode, decode the ids again, and keep a digest of each."""
 
     def row(enc, ids):
-        dec = enc.v.decimal.__getitem__
         return [
             pa.array([len(x) for x in ids], pa.int64()),
-            pa.array([hashlib.sha256(b" ".join(map(dec, x))).hexdigest() for x in ids], pa.string()),
+            pa.array([hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in ids], pa.string()),
             pa.array([hashlib.sha256(enc.decode(x)).hexdigest() for x in ids], pa.string()),
         ]
 

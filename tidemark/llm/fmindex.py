@@ -1,10 +1,12 @@
-"""FM-index over integer sequences: succinct bit vectors, a wavelet matrix, backward search."""
+"""FM-index over integer sequences: succinct bit vectors, a wavelet matrix, backward search, matching statistics."""
 
 from __future__ import annotations
 
 import numpy as np
 
 U64 = np.uint64
+#: Positions that a search carries at once; its arrays stay near the CPU caches.
+AT_ONCE = 1 << 16
 
 
 class BitVector:
@@ -35,15 +37,43 @@ class WaveletMatrix:
             self.levels.append(BitVector(one))
             self.zeros.append(int(len(s) - one.sum()))
             s = np.concatenate([s[~one], s[one]])
+        # where each symbol's run begins below the last level
+        self.origin = np.zeros(1 << bits, np.int64)
+        fresh = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
+        self.origin[s[fresh]] = fresh
 
     def rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
-        """Occurrences of c[j] before i[j]."""
-        start = np.zeros(len(c), np.int64)
+        """Occurrences of c[j], a symbol that occurs, before i[j]."""
+        origin = self.origin[c]
         for k, (level, zeros) in enumerate(zip(self.levels, self.zeros, strict=True)):
             one = (c >> (self.bits - 1 - k)) & 1 == 1
-            a, b = level.rank1(start), level.rank1(i)
-            start, i = np.where(one, zeros + a, start - a), np.where(one, zeros + b, i - b)
-        return i - start
+            b = level.rank1(i)
+            i = np.where(one, zeros + b, i - b)
+        return i - origin
+
+
+class RangeMinimum:
+    """Smallest value of any range: minima of all runs whose length is a power of two."""
+
+    def __init__(self, values: np.ndarray):
+        self.runs = [values.astype(np.int32)]
+        while 2 * (step := 1 << (len(self.runs) - 1)) <= len(values):
+            last = self.runs[-1]
+            self.runs.append(np.minimum(last[:-step], last[step:]))
+        size = max(map(len, self.runs))
+        self.at = np.cumsum([0, *map(len, self.runs)])
+        self.flat = np.concatenate(self.runs)
+        self.runs = None
+        # binary logarithm of each length
+        self.log = np.zeros(size + 1, np.int8)
+        for k in range(1, size.bit_length()):
+            self.log[1 << k :] = k
+
+    def least(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Of each [lo, hi), which is not empty."""
+        k = self.log[hi - lo]
+        at = self.at[k]
+        return np.minimum(self.flat[at + lo], self.flat[at + hi - (1 << k.astype(np.int64))])
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -68,50 +98,60 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
 class FMIndex:
     """Backward search over sequences joined by separators.
 
-    Suffixes are sorted to ``depth`` symbols, which is enough for patterns of up to
-    that length.
+    ``symbols``: numbers 0, 1, ... of all sequences, one after another, each of which
+    occurs; ``size``: the sequences' lengths.  Suffixes are sorted to ``depth`` symbols,
+    which is enough for patterns of up to that length.
     """
 
-    def __init__(self, sequences: list[np.ndarray], depth: int):
+    def __init__(self, symbols: np.ndarray, size: np.ndarray, depth: int):
         self.depth = depth
-        size = np.array([len(s) for s in sequences], np.int64)
-        flat = np.concatenate(sequences)
-        self.alphabet, codes = np.unique(flat, return_inverse=True)
         ends = np.cumsum(size + 1) - 1
-        text = np.zeros(len(flat) + len(sequences), np.int64)
+        text = np.zeros(len(symbols) + len(size), np.int64)
         keep = np.ones(len(text), bool)
         keep[ends] = False
-        text[keep] = codes + 1
+        text[keep] = symbols + 1
         self.order = suffix_order(text, depth)
-        self.owner = np.repeat(np.arange(len(sequences)), size + 1)[self.order]
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(self.alphabet) + 1))])
-        self.last_column = WaveletMatrix(text[self.order - 1], max(1, int(len(self.alphabet)).bit_length()))
-        self.n = len(text)
+        self.owner = np.repeat(np.arange(len(size)), size + 1)[self.order]
+        top = int(symbols.max()) + 1 if len(symbols) else 0
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=top + 1))])
+        self.last_column = WaveletMatrix(text[self.order - 1], max(1, top.bit_length()))
+
+    def extend(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Suffix intervals [lo, hi) of patterns with one more symbol c in front."""
+        c = c + 1
+        r = self.last_column.rank(np.concatenate([c, c]), np.concatenate([lo, hi]))
+        return self.first[c] + r[: len(c)], self.first[c] + r[len(c) :]
 
     def intervals(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffix interval [lo, hi) of each row of symbols; empty if it does not occur."""
-        q, length = patterns.shape
-        if length > self.depth:
+        if patterns.shape[1] > self.depth:
             raise ValueError("pattern longer than the sorted depth")
-        at = np.minimum(np.searchsorted(self.alphabet, patterns), len(self.alphabet) - 1)
-        there = (self.alphabet[at] == patterns).all(1)
-        # the last symbol's interval is its block of suffixes
-        c = at[:, -1] + 1
-        lo, hi = self.first[c], np.where(there, self.first[c + 1], self.first[c])
-        for j in range(length - 2, -1, -1):
-            c = at[:, j] + 1
-            r = self.last_column.rank(np.concatenate([c, c]), np.concatenate([lo, hi]))
-            lo, hi = self.first[c] + r[:q], self.first[c] + r[q:]
+        c = patterns[:, -1] + 1
+        lo, hi = self.first[c], self.first[c + 1]
+        for j in range(patterns.shape[1] - 2, -1, -1):
+            lo, hi = self.extend(patterns[:, j], lo, hi)
         return lo, np.maximum(hi, lo)
 
-    def least(self, lo: np.ndarray, hi: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """Smallest ``value`` of the sequences that own a suffix in each non-empty interval.
+    def matching_statistics(self, stream: np.ndarray, ends: np.ndarray, value: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """For each end, how many symbols of the stream up to it stand together in a sequence of smaller value.
 
-        The intervals are those of patterns of one length: equal or disjoint.
+        ``value``: a number of each sequence; ``own``: the number that the sequence must be
+        below, for each end.  Lengths count up to ``depth``; every end has that many symbols.
         """
-        start, back = np.unique(lo, return_inverse=True)
-        end = np.zeros(len(start), np.int64)
-        end[back] = hi
-        cut = np.stack([start, end], 1).ravel()
-        v = np.append(value[self.owner], np.iinfo(np.int64).max)
-        return np.minimum.reduceat(v, cut)[::2][back]
+        smallest = RangeMinimum(value[self.owner])
+        out = np.zeros(len(ends), np.int64)
+        for a in range(0, len(ends), AT_ONCE):
+            live = np.arange(a, min(len(ends), a + AT_ONCE))
+            c = stream[ends[live]] + 1
+            lo, hi = self.first[c], self.first[c + 1]
+            for j in range(self.depth):
+                if j:
+                    lo, hi = self.extend(stream[ends[live] - j], lo, hi)
+                # a match goes on as long as a smaller sequence holds it
+                ok = lo < hi
+                ok[ok] = smallest.least(lo[ok], hi[ok]) < own[live[ok]]
+                live, lo, hi = live[ok], lo[ok], hi[ok]
+                out[live] += 1
+                if not len(live):
+                    break
+        return out

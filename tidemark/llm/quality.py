@@ -31,7 +31,7 @@ from . import textkit
 
 PASSAGE = 50
 SAMPLE = 2000
-SAMPLE_BYTES = 1 << 16
+SAMPLE_BYTES = 8 << 20
 HIDDEN = 12
 STEPS = 400
 

@@ -61,7 +61,7 @@ def op7_nearjoin(spark, sf_dir):
 
 
 def op8_substring(spark, sf_dir):
-    return substring.digests(documents(spark, sf_dir))
+    return substring.digests(documents(spark, sf_dir)).drop("removed")
 
 
 def op10_media(spark, sf_dir):

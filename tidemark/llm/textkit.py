@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
 #: Bytes of text handled at once; arrays over them stay near the CPU caches.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -88,11 +89,20 @@ class Words:
 
     @property
     def hash(self) -> np.ndarray:
+        """Hash of each word; the arrays over bytes cover a part of the words at a time."""
         if self._hash is None:
-            up, down = _powers(len(self.buf) + 1)
-            c = np.zeros(len(self.buf) + 1, U64)
-            np.cumsum(_BYTE[self.buf] * up[: len(self.buf)], out=c[1:])
-            self._hash = mix((c[self.ends] - c[self.starts]) * down[self.starts])
+            out = np.empty(len(self), U64)
+            k = 0
+            while k < len(self):
+                m = max(k + 1, int(np.searchsorted(self.ends, self.starts[k] + SLICE_BYTES, "right")))
+                lo, hi = int(self.starts[k]), int(self.ends[m - 1])
+                up, down = _powers(hi - lo + 1)
+                c = np.zeros(hi - lo + 1, U64)
+                np.cumsum(_BYTE[self.buf[lo:hi]] * up[: hi - lo], out=c[1:])
+                s = self.starts[k:m] - lo
+                out[k:m] = (c[self.ends[k:m] - lo] - c[s]) * down[s]
+                k = m
+            self._hash = mix(out)
         return self._hash
 
 
@@ -107,12 +117,32 @@ def words(texts: pa.Array, lower: bool = True, separators: np.ndarray = _SPACE)
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of every n consecutive hashes; the caller masks those that cross documents."""
-    if len(h) < n:
-        return np.zeros(0, U64)
-    up, down = _powers(len(h) + 1)
-    c = np.zeros(len(h) + 1, U64)
-    np.cumsum(h * up[: len(h)], out=c[1:])
-    return mix((c[n:] - c[:-n]) * down[: len(h) - n + 1] + U64(n))
+    out = np.empty(max(0, len(h) - n + 1), U64)
+    for a in range(0, len(out), SLICE_BYTES):
+        b = min(len(out), a + SLICE_BYTES)
+        part = h[a : b + n - 1]
+        up, down = _powers(len(part) + 1)
+        c = np.zeros(len(part) + 1, U64)
+        np.cumsum(part * up[: len(part)], out=c[1:])
+        out[a:b] = mix((c[n:] - c[:-n]) * down[: b - a] + U64(n))
+    return out
+
+
+def sequence_ids(w: Words) -> np.ndarray:
+    """Hash of each document's whole word sequence."""
+    total = np.zeros(len(w.count), U64)
+    for a in range(0, len(w), SLICE_BYTES):
+        b = min(len(w), a + SLICE_BYTES)
+        up, down = _powers(b - a + 1)
+        c = np.zeros(b - a + 1, U64)
+        np.cumsum(w.hash[a:b] * up[: b - a], out=c[1:])
+        d = np.arange(w.doc[a], w.doc[b - 1] + 1)
+        lo, hi = np.maximum(w.at[d], a) - a, np.minimum(w.at[d + 1], b) - a
+        part = (c[hi] - c[lo]) * down[lo]
+        # a document that began in an earlier part: its words here stand behind those
+        part[:1] *= U64(pow(_BASE, max(0, a - int(w.at[d[0]])), 2**64))
+        total[d] += part
+    return mix(total + mix(w.count.astype(U64) + U64(17))).view(np.int64)
 
 
 def doc_grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,6 +163,31 @@ def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch
         i = j
 
 
+#: Numbers that a task remembers so as not to send copies twice.
+KEEP = 1 << 18
+
+
+class Remembered:
+    """Numbers met before; forgets all when there are more than ``KEEP``."""
+
+    def __init__(self):
+        self.seen: set[int] = set()
+
+    def fresh(self, numbers: np.ndarray) -> np.ndarray:
+        """Which numbers are met for the first time."""
+        if len(self.seen) > KEEP:
+            self.seen.clear()
+        seen = self.seen
+        return np.array([not (x in seen or seen.add(x)) for x in numbers.tolist()], bool)
+
+
+def runs(mark: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of every run of marked words that lies in one document."""
+    at = np.flatnonzero(mark)
+    new = np.append(True, (at[1:] != at[:-1] + 1) | (doc[at[1:]] != doc[at[:-1]])) if len(at) else np.zeros(0, bool)
+    return at[new], at[np.append(np.flatnonzero(new)[1:], len(at)) - 1] if len(at) else at
+
+
 def crc_mod(ids: pa.Array, m: int) -> np.ndarray:
     """crc32 of the decimal text of each id, modulo m; -1 for a null id."""
     import zlib
@@ -140,9 +195,39 @@ def crc_mod(ids: pa.Array, m: int) -> np.ndarray:
     return np.array([-1 if x is None else zlib.crc32(str(x).encode()) % m for x in ids.to_pylist()], np.int64)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole documents can be long, so a batch that goes to Python holds few of them."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Rows of a batch of whole documents that goes to Python.
+BATCH_ROWS = 256
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Whole documents can be long, so a batch that goes to Python holds few of them.
+
+    The bound stays in the session, as frames that operators return run later; it is only
+    ever lowered, so it does not matter which operator was called last.
+    """
+    have = int(spark.conf.get(_ROWS))
+    if not 0 < have <= BATCH_ROWS:
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Larger batches for the short rows of frames that are written inside the block."""
+    have = spark.conf.get(_ROWS)
+    spark.conf.set(_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS, have)
+
+
+def free(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def releasing(f):
@@ -155,6 +240,7 @@ def releasing(f):
             import ctypes
             import gc
 
+            _pow.clear()
             gc.collect()
             try:
                 ctypes.CDLL(None).malloc_trim(0)
@@ -179,23 +265,55 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+#: Keys that can each hold more than 1 / HOT_KEYS of all rows; there cannot be more of them.
+HOT_KEYS = 1000
+
+
+def joined_by(rows: DataFrame, per_key: DataFrame, key: str, count: str = "n") -> DataFrame:
+    """``rows`` joined with ``per_key`` on ``key``; ``count`` says how many rows have a key.
+
+    A key with more than 1 / ``HOT_KEYS`` of all rows would be one task of a shuffle: such
+    keys, at most ``HOT_KEYS``, are broadcast, and their rows stay where they are.
+    """
+    from pyspark.sql import functions as F
+
+    total = per_key.agg(F.sum(count)).first()[0] or 0
+    hot = per_key.where(F.col(count) * HOT_KEYS > total).drop(count).toArrow()
+    rest = per_key.drop(count)
+    if not len(hot):
+        return rows.join(rest, key)
+    few = F.broadcast(rows.sparkSession.createDataFrame(hot))
+    cold = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(rest, key)
+    return rows.join(few, key).unionByName(cold)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
 
 
 def drop_written(df: DataFrame) -> None:
-    """Remove the files of a frame made by ``written``."""
+    """Remove the files of a frame that ``written`` returned."""
     spark = df.sparkSession
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    p = spark._jvm.org.apache.hadoop.fs.Path(df.written_path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int, max_bytes: int) -> tuple[list[pa.Array], list[int]]:
-    """Texts of at most ``sample`` rows of each class 0 and 1, and the number of labelled rows of each class.
+    """Texts of at most ``sample`` rows and ``max_bytes`` of each class 0 and 1, and the number of labelled rows of each class.
 
     ``docs``: doc_id, text; ``labels``: doc_id and ``label``, one row an id.  Ids are
-    matched and picked (in order of a hash) before any text is read; then a broadcast
-    of at most 2 * ``sample`` ids fetches their texts, those of up to ``max_bytes``.
+    matched and picked in order of a hash of the id before any text is read; then a
+    broadcast of at most 2 * ``sample`` ids fetches their texts, however long each is.  A
+    class takes them in that order while they fit into what is left of ``max_bytes``.
     """
     from pyspark.sql import functions as F
 
@@ -203,12 +321,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int,
     there = labels.join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", (F.col(label) == 1).cast("int").alias("y"))
     counts = {r["y"]: r["count"] for r in there.groupBy("y").count().collect()}
     picks = [there.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
-    rows = [(r["doc_id"], r["y"]) for p in picks for r in p.collect()]
-    ids = F.broadcast(spark.createDataFrame(rows, "doc_id bigint, y int"))
-    fit = docs.where(F.octet_length(F.coalesce("text", F.lit(""))) <= max_bytes)
-    t = fit.join(ids, "doc_id").select("y", "doc_id", "text").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    rows = [(r["doc_id"], r["y"], i) for p in picks for i, r in enumerate(p.collect())]
+    ids = F.broadcast(spark.createDataFrame(rows, "doc_id bigint, y int, place int"))
+    size = F.octet_length(F.coalesce("text", F.lit("")))
+    found = written(docs.join(ids, "doc_id").select("y", "place", size.alias("size"), F.xxhash64("text").alias("own"), "text"), "labelled")
     out = []
     for k in (0, 1):
-        own = t.filter(pa.compute.equal(t["y"], k)).slice(0, sample)["text"]
-        out.append(pa.concat_arrays([c.cast(pa.large_string()) for c in own.chunks] or [pa.array([], pa.large_string())]))
+        own = found.where(F.col("y") == k)
+        # one row a label, the first of rows that share an id
+        sizes = own.groupBy("place").agg(F.min(F.struct("size", "own")).alias("t")).select("place", "t.*").orderBy("place").collect()
+        left, taken = max_bytes, []
+        for r in sizes:
+            if r["size"] <= left:
+                left -= r["size"]
+                taken.append((r["place"], r["own"]))
+        wanted = F.broadcast(spark.createDataFrame(taken, "place int, own bigint"))
+        t = own.join(wanted, ["place", "own"]).groupBy("place").agg(F.first("text").alias("text")).toArrow().sort_by([("place", "ascending")])["text"]
+        out.append(pa.concat_arrays([c.cast(pa.large_string()) for c in t.chunks] or [pa.array([], pa.large_string())]))
+    drop_written(found)
     return out, [counts.get(k, 0) for k in (0, 1)]

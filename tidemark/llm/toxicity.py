@@ -39,7 +39,7 @@ from . import textkit
 from .textkit import U64
 
 SAMPLE = 2000
-SAMPLE_BYTES = 1 << 16
+SAMPLE_BYTES = 8 << 20
 BITS = 18
 PREFIXES = (3, 4, 5, 6)
 RUN = 256
