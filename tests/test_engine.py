@@ -425,13 +425,36 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got.points.collect())) == sorted(map(tuple, s.points.collect()))
 
 
-def test_registered_queries_have_all_series_operators():
+def test_every_registered_query_has_its_sql():
     from tidemark.plans import queries
 
-    assert len(queries.QUERIES) > 110 and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+    assert set(queries.ORACLE_SQL) == set(queries.QUERIES)
 
 
-@pytest.mark.parametrize("name", ["overlay_read", "overlay_read_all", "resample_update_all", "rename_merge_all"])
+def test_options_act(small):
+    t0 = T - T % 60
+    assert run(small, "sumSeries(setXFilesFactor(a.*.*,0.6))") == {"sumSeries(setXFilesFactor(a.*.*,0.6))": {0: 11.0, -1: 22.0, -3: 9.0}}
+    assert run(small, "sumSeries(a.*.*)")["sumSeries(a.*.*)"][-2] == 3.0
+    assert run(small, "movingSum(xFilesFactor(a.x.one,1),2)") == {"movingSum(a.x.one,2)": {-1: 7.0, 0: 5.0}}
+    for target, want in (("a.x.one", [3.5, 1.5]), ('consolidateBy(a.x.one,"max")', [4.0, 2.0]), ("cumulative(a.x.one)", [7.0, 3.0]), ("xFilesFactor(a.x.*,0.6)", [3.5, 1.5])):
+        rows = render(small, [target], t0 - 241, t0 - 1 + 60, T, most=2)[0].collect()
+        assert sorted((r.value for r in rows if r.name == "a.x.one"), reverse=True) == want
+    assert run(small, 'timeShift(a.x.one,"1min")') == {"timeShift(a.x.one,'1min')": {0: 2.0, -1: 3.0, -2: 4.0}}
+    assert run(small, 'timeShift(a.x.one,"1min",False)') == {"timeShift(a.x.one,'1min')": {1: 1.0, 0: 2.0, -1: 3.0, -2: 4.0}}
+
+
+def test_daylight_saving():
+    from types import SimpleNamespace
+
+    zone = SimpleNamespace(spark=SimpleNamespace(conf={"spark.sql.session.timeZone": "Europe/Berlin"}))
+    summer, winter = 1_688_000_000, 1_673_000_000
+    zone.start, zone.end = summer, summer + 60
+    assert catalogue._saving(zone, winter, winter + 60) == 3600 and catalogue._saving(zone, summer - 60, summer) == 0
+    zone.start, zone.end = winter, winter + 60
+    assert catalogue._saving(zone, summer, summer + 60) == -3600
+
+
+@pytest.mark.parametrize("name", ["overlay_read", "resample_update", "rename_merge", "buffer_flush", "routed_read"])
 def test_store_queries_over_all_events_equal_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     from tidemark.plans import queries
@@ -441,5 +464,5 @@ def test_store_queries_over_all_events_equal_their_sql(spark, name):
     con.execute(f"SET TimeZone = 'UTC'; CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
     want = sorted(con.execute(queries.ORACLE_SQL[name]).fetchall())
     got = sorted(map(tuple, queries.QUERIES[name](spark, sf).collect()))
-    key = 1 if name.startswith("overlay") else 0
-    assert got == want and len({r[key].split(".")[1] for r in got}) > (1 if name.endswith("_all") else 0)
+    key = 1 if name in ("overlay_read", "routed_read") else 0
+    assert got == want and len({r[key].split(".")[1] for r in got}) > 1

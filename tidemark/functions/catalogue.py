@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from datetime import datetime, timedelta
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import smoothing, timeparse
-from tidemark.plans.frame import Series, by_time, canonical, combine, consolidate, shaped, union
+from tidemark.plans.frame import DIM_COLUMNS, Series, by_time, canonical, combine, consolidate, factor, shaped, union
 from tidemark.plans.language import Call, Const, QueryError, Ref
 
 REGISTRY: dict[str, tuple[Callable, bool]] = {}
@@ -97,7 +99,8 @@ def alias_sub(ctx, call, s, search, replace):
 @register("aliasQuery")
 def alias_query(ctx, call, s, search, replace, name):
     """Names from the last value of the series found under the rewritten name."""
-    other = ctx.read("**")
+    wanted = s.dim.select(F.regexp_replace("name", search, _java(replace)).alias("key")).distinct()
+    other = ctx.read_where(lambda c: c.join(wanted, "key", "left_semi"))
     last = other.stats("last").select(F.col("name").alias("_key"), F.col("stat").alias("_v"))
     dim = s.dim.withColumn("_key", F.regexp_replace("name", search, _java(replace))).join(last, "_key", "left")
     shown = F.format_string(name, F.col("_v").cast("bigint") if "%d" in name else F.col("_v"))
@@ -366,6 +369,11 @@ def _moving(ctx, call, s, size, func, xff, fn):
     else:
         w, need = Window.partitionBy("sid").orderBy("i").rangeBetween(-int(size), -1), F.lit(float(size))
     known = F.count("value").over(w)
+    if xff is None and s.hinted:
+        s = Series(s.dim.withColumn("_f", factor()), s.pts)
+        xff, share = 1.0, F.col("_f")
+    else:
+        share = F.lit(float(xff or 0))
     func = canonical(func)
     match func:
         case "range":
@@ -378,9 +386,9 @@ def _moving(ctx, call, s, size, func, xff, fn):
             v = F.first("value", True).over(w)
         case _:
             v = consolidate(func).over(w)
-    ok = known > 0 if not xff else (known > 0) & (known >= F.lit(float(xff)) * need)
-    d = s.dense().select("sid", "ts", F.when(ok, v).alias("value"))
-    return _named(Series(s.dim, d), fn, size)
+    ok = known > 0 if not xff else (known > 0) & (known >= share * need)
+    d = s.dense(*(["_f"] if "_f" in s.dim.columns else [])).select("sid", "ts", F.when(ok, v).alias("value"))
+    return _named(Series(s.dim.select(*DIM_COLUMNS), d), fn, size)
 
 
 @register("movingWindow")
@@ -584,8 +592,7 @@ def unique(ctx, call, *args):
 def use_series_above(ctx, call, s, value, search, replace):
     """The series found under the rewritten names of those whose maximum is above ``value``."""
     names = s.stats("max").where(F.col("stat") > float(value)).select(F.regexp_replace("name", search, _java(replace)).alias("name")).distinct()
-    other = ctx.read("**")
-    return other.only(other.dim.join(names, "name", "left_semi"))
+    return ctx.read_where(lambda c: c.join(names.withColumnRenamed("name", "key"), "key", "left_semi"))
 
 
 # graph group: hints for whoever draws
@@ -737,17 +744,21 @@ def fallback_series(ctx, call, node, fallback):
 @register("seriesByTag")
 def series_by_tag(ctx, call, *expressions):
     """Series whose tags meet all of tag=v, tag!=v, tag=~re, tag!=~re; an absent tag is ''."""
-    s = ctx.read("**")
-    dim = s.dim
+    ok_all = F.lit(True)
     for e in expressions:
         m = re.fullmatch(r"([^!=~]+)(!=~|=~|!=|=)(.*)", e, re.S)
         if not m:
             raise QueryError(f"invalid tag expression {e!r}")
         tag, op, v = m.groups()
-        have = F.coalesce(F.element_at("tags", F.lit(tag)), F.col("name") if tag == "name" else F.lit(""))
-        ok = have.rlike(f"^(?:{v})") if "~" in op else have == v
-        dim = dim.where(~ok if op[0] == "!" else ok)
-    return s.only(dim)
+        ok_all = ok_all & _tag_test(tag, op, v)
+    # the catalogue is filtered first; only the points of the series left are read
+    return ctx.read_where(lambda c: (c if "tags" in c.columns else c.withColumn("tags", F.expr("cast(map() as map<string,string>)"))).where(ok_all))
+
+
+def _tag_test(tag: str, op: str, v: str) -> Column:
+    have = F.coalesce(F.element_at("tags", F.lit(tag)), F.col("key") if tag == "name" else F.lit(""))
+    ok = have.rlike(f"^(?:{v})") if "~" in op else have == v
+    return ~ok if op[0] == "!" else ok
 
 
 # transform group
@@ -911,8 +922,8 @@ def hitcount(ctx, call, s, interval, align=False):
     return _named(Series(_bucketed(s, k, origin, "sum").dim, pts), "hitcount", interval)
 
 
-def _shifted(ctx, node, seconds: int) -> Series:
-    s = ctx.between(ctx.start + seconds, ctx.end + seconds).evaluate(node)
+def _shifted(ctx, node, seconds: int, reset_end: bool = True) -> Series:
+    s = ctx.between(ctx.start + seconds, ctx.end + seconds if reset_end else ctx.end).evaluate(node)
     dim = s.dim.withColumns({c: F.col(c) - seconds for c in ("start_time", "end_time")})
     return Series(dim, s.pts.select("sid", (F.col("ts") - seconds).alias("ts"), "value"))
 
@@ -924,8 +935,23 @@ def _back(text: str) -> int:
 
 @register("timeShift", lazy=True)
 def time_shift(ctx, call, node, shift, reset_end=None, align_dst=None):
+    """Values from another time.  Without ``reset_end`` the shifted series goes on to what was read last; ``align_dst`` keeps the hour of the day across a change of daylight saving time."""
     t = ctx.value(shift)
-    return _named(_shifted(ctx, node, _back(t)), "timeShift", t)
+    seconds = _back(t)
+    if align_dst is not None and ctx.value(align_dst):
+        seconds += _saving(ctx, ctx.start + seconds, ctx.end + seconds)
+    keep = reset_end is None or ctx.value(reset_end) in (True, None)
+    return _named(_shifted(ctx, node, seconds, keep), "timeShift", t)
+
+
+def _saving(ctx, start: int, end: int) -> int:
+    """Seconds by which a wholly shifted range differs in daylight saving time, in the session's time zone."""
+    zone = ZoneInfo(ctx.spark.conf.get("spark.sql.session.timeZone"))
+    extra = [datetime.fromtimestamp(t, zone).dst() or timedelta(0) for t in (ctx.start, ctx.end, start, end)]
+    on = [bool(x) for x in extra]
+    if on[:2] == [True, True] and on[2:] == [False, False]:
+        return int(extra[0].total_seconds())
+    return -int(extra[2].total_seconds()) if on == [False, False, True, True] else 0
 
 
 @register("timeStack", lazy=True)

@@ -53,8 +53,8 @@ def read(catalog: DataFrame, points: DataFrame, patterns: list[str], start: int,
         F.col("pattern").alias("query"), F.col("key").alias("name"), "tier", F.coalesce("step", F.lit(0)).cast("bigint").alias("step"),
         F.coalesce("start_time", F.lit(start)).cast("bigint").alias("start_time"), F.coalesce("end_time", F.lit(end)).cast("bigint").alias("end_time"),
     )
-    # the literal bounds reach the scan; the exact window is per series
-    p = points.where((F.col("ts") >= start) & (F.col("ts") < end + 86400 * 366)).select("key", "tier", "ts", "value")
+    # the literal bounds reach the scan, and no slot of a window lies outside of them; the exact window is per series
+    p = points.where((F.col("ts") >= start) & (F.col("ts") <= end)).select("key", "tier", "ts", "value")
     live = head.where("step > 0 AND start_time < end_time").withColumnRenamed("name", "key")
     data = live.join(p, ["key", "tier"]).where("ts >= start_time AND ts < end_time").select("query", F.col("key").alias("name"), "ts", "value")
     return head.drop("tier"), data
@@ -65,14 +65,18 @@ def read_all(catalog: DataFrame, points: DataFrame, key: str) -> tuple[DataFrame
     return catalog.where(F.col("key") == key), points.where((F.col("key") == key) & F.col("value").isNotNull()).select("tier", "ts", "value")
 
 
-def series(catalog: DataFrame, points: DataFrame, pattern: str, start: int, end: int, now: int, **how) -> Series:
-    """A pattern's series as a set for the query language; NaN becomes null."""
+def series(catalog: DataFrame, points: DataFrame, pattern: str, start: int, end: int, now: int, keep=None, **how) -> Series:
+    """A pattern's series as a set for the query language; NaN becomes null.
+
+    ``keep``, a function of the catalogue, leaves some of its rows; only their points are read.
+    """
     c = catalog.where(glob.condition(F.col("key"), pattern, **how))
+    c = keep(c) if keep is not None else c
     w = window(c, start, end, now).where("step > 0")
     sid = F.xxhash64("key")
     tags = F.col("tags") if "tags" in catalog.columns else F.expr("cast(map() as map<string,string>)")
     dim = w.join(c.select("key", tags.alias("tags")), "key").select(sid.alias("sid"), F.col("key").alias("name"), "start_time", "end_time", "step", "tags")
-    p = points.where(glob.condition(F.col("key"), pattern, **how) & (F.col("ts") >= start))
+    p = points.where(glob.condition(F.col("key"), pattern, **how) & (F.col("ts") >= start) & (F.col("ts") <= end))
     hit = p.join(w.select("key", "tier", "start_time", "end_time"), ["key", "tier"]).where("ts >= start_time AND ts < end_time")
     return Series(shaped(dim), hit.select(sid.alias("sid"), "ts", F.nanvl("value", F.lit(None).cast("double")).alias("value")))
 

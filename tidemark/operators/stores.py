@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import glob
 from tidemark.operators import catalog as cat
 from tidemark.operators import ingest, read
 from tidemark.plans.frame import Series
@@ -78,6 +79,11 @@ class Store:
         self.catalog, self.points, out = cat.rename_series(self.catalog, self.points, names, merge, now)
         return out
 
+    def drop_keys(self, keys: DataFrame) -> None:
+        """Delete the series named in ``keys`` (key)."""
+        self._begin()
+        self.catalog, self.points = (f.join(keys, "key", "left_anti") for f in (self.catalog, self.points))
+
     def find(self, patterns: list[str]) -> tuple[DataFrame, DataFrame]:
         return cat.find(self.catalog, patterns)
 
@@ -87,8 +93,8 @@ class Store:
     def read_all(self, key: str) -> tuple[DataFrame, DataFrame]:
         return read.read_all(self.catalog, self.points, key)
 
-    def read_series(self, pattern: str, start: int, end: int, now: int) -> Series:
-        return read.series(self.catalog, self.points, pattern, start, end, now)
+    def read_series(self, pattern: str, start: int, end: int, now: int, keep=None) -> Series:
+        return read.series(self.catalog, self.points, pattern, start, end, now, keep)
 
     def stats(self) -> DataFrame:
         """name, value: counts of series, points and points by tier."""
@@ -172,8 +178,25 @@ class MultiStore:
         parts = [s.read(patterns, start, end, now) for s in self.stores]
         return read.merge_reads([h for h, _ in parts], [d for _, d in parts])
 
-    def read_series(self, pattern: str, start: int, end: int, now: int) -> Series:
-        parts = [s.read_series(pattern, start, end, now) for s in self.stores]
+    def rename_series(self, names: list[tuple[str, str]], merge: bool = False, now: int | None = None) -> DataFrame:
+        return combined_results([s.rename_series(names, merge=merge, now=now) for s in self.stores])
+
+    def read_all(self, key: str) -> tuple[DataFrame, DataFrame]:
+        """Of the one store that has the key; an error if several have it."""
+        parts = [s.read_all(key) for s in self.stores]
+        have = [p for p in parts if not p[0].isEmpty()]
+        if len(have) > 1:
+            raise ValueError("more than one store has the series")
+        return (have or parts)[0]
+
+    def stats(self) -> DataFrame:
+        out = self.stores[0].stats()
+        for s in self.stores[1:]:
+            out = out.unionByName(s.stats())
+        return out.groupBy("name").agg(F.sum("value").alias("value"))
+
+    def read_series(self, pattern: str, start: int, end: int, now: int, keep=None) -> Series:
+        parts = [s.read_series(pattern, start, end, now, keep) for s in self.stores]
         dim, pts = parts[0].dim.withColumn("_s", F.lit(0)), parts[0].pts
         for k, p in enumerate(parts[1:], 1):
             dim, pts = dim.unionByName(p.dim.withColumn("_s", F.lit(k))), pts.unionByName(p.pts)
@@ -216,3 +239,112 @@ def verify(actual: DataFrame, points: list[tuple[int, int]]) -> DataFrame:
     """Moves (key, store, wanted) of the keys that are not where the ring puts them.  ``actual``: key, store."""
     wanted = place_keys(actual.select("key").distinct(), points).withColumnRenamed("store", "wanted")
     return actual.join(wanted, "key").where("store <> wanted")
+
+
+@dataclass
+class RingStore(MultiStore):
+    """Stores that share the keys by a consistent hash ring.
+
+    Writes and literal names go to the store that the ring names, patterns to all.  With
+    ``read_from_all`` literal reads ask every store, as they must while keys may be misplaced.
+    """
+
+    places: list[tuple[str, str]] = field(default_factory=list)
+    read_from_all: bool = False
+
+    def __post_init__(self):
+        self.points_of_ring = ring(self.places)
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (key, ...) with the number of the store each belongs to."""
+        return place_keys(rows, self.points_of_ring)
+
+    def _routed(self, rows: DataFrame, call) -> DataFrame:
+        own = settled(self.placed(rows))
+        parts = [call(s, own.where(F.col("store") == k).drop("store")) for k, s in enumerate(self.stores)]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def write(self, batch: DataFrame, now: int) -> DataFrame:
+        if "arrival" not in batch.columns:
+            batch = batch.withColumn("arrival", F.monotonically_increasing_id())
+        return self._routed(batch, lambda s, rows: s.write(rows, now))
+
+    def update_metadata(self, changes: DataFrame, **how) -> DataFrame:
+        return self._routed(changes, lambda s, rows: s.update_metadata(rows, **how))
+
+    def _of(self, names: list[str]) -> dict[str, int]:
+        rows = self.placed(self.spark.createDataFrame([(n,) for n in dict.fromkeys(names)], "key string")).collect()
+        return {r["key"]: r["store"] for r in rows}
+
+    def read(self, patterns: list[str], start: int, end: int, now: int) -> tuple[DataFrame, DataFrame]:
+        literals = [p for p in patterns if not glob.is_pattern(p)]
+        if self.read_from_all or not literals:
+            return super().read(patterns, start, end, now)
+        of = self._of(literals)
+        parts = []
+        for k, s in enumerate(self.stores):
+            own = [p for p in patterns if of.get(p, k) == k]
+            if own:
+                parts.append(s.read(own, start, end, now))
+        return read.merge_reads([h for h, _ in parts], [d for _, d in parts])
+
+    def rename_series(self, names: list[tuple[str, str]], merge: bool = False, now: int | None = None) -> DataFrame:
+        """Renames inside a store are its own; others copy the series to the new name's store and then delete it."""
+        of = self._of([n for pair in names for n in pair])
+        parts = []
+        for k, s in enumerate(self.stores):
+            own = [(a, b) for a, b in names if of[a] == k and of[b] == k]
+            if own:
+                parts.append(s.rename_series(own, merge=merge, now=now))
+            for j, other in enumerate(self.stores):
+                across = [(a, b) for a, b in names if of[a] == k and of[b] == j and j != k]
+                if across:
+                    parts.append(moved_series(s, other, self.spark.createDataFrame(across, "key string, new_key string"), merge, now))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def verify(self, repair: bool = False, now: int | None = None) -> DataFrame:
+        """Moves (key, store, wanted) of keys that stand in another store than the ring's; ``repair`` carries them out.
+
+        A moved series keeps the archives of a series that its store has already; its points win.
+        """
+        actual = self.stores[0].catalog.select("key", F.lit(0).alias("store"))
+        for k, s in enumerate(self.stores[1:], 1):
+            actual = actual.unionByName(s.catalog.select("key", F.lit(k).alias("store")))
+        out = settled(verify(actual, self.points_of_ring))
+        if repair:
+            for r in out.select("store", "wanted").distinct().orderBy("store", "wanted").collect():
+                keys = out.where((F.col("store") == r["store"]) & (F.col("wanted") == r["wanted"])).select("key", F.col("key").alias("new_key"))
+                moved_series(self.stores[r["store"]], self.stores[r["wanted"]], keys, True, now)
+        return out
+
+
+def moved_series(source: Store, target: Store, names: DataFrame, merge: bool, now: int | None) -> DataFrame:
+    """Take series (key, new_key) from one store to another; results per old name.
+
+    A series that the target has stays as it is without ``merge``; with it, it keeps its
+    archives and takes the source's points, which win their slots.
+    """
+    have = source.catalog.select("key", F.lit(True).alias("_src"))
+    taken = target.catalog.select(F.col("key").alias("new_key"), F.lit(True).alias("_dst"))
+    r = names.join(have, "key", "left").join(taken, "new_key", "left")
+    error = (
+        F.when(~F.col("new_key").rlike(glob.KEY), "key contains invalid characters")
+        .when(F.col("_src").isNull(), "series does not exist")
+        .when(F.col("_dst").isNotNull() & F.lit(not merge), "destination exists")
+        .otherwise("")
+    )
+    r = settled(r.select("key", "new_key", error.alias("error")))
+    go = r.where("error = ''").select("key", "new_key")
+    renamed = lambda f: f.join(go, "key").withColumn("key", F.col("new_key")).select(*f.columns)
+    rows, points = settled(renamed(source.catalog)), settled(renamed(source.points).where("value IS NOT NULL"))
+    at = now if now is not None else cat._latest(points)
+    target.update_metadata(rows, behavior=cat.IGNORE, create_new=True, now=at)
+    target.write(points.select("key", "ts", "value", (-F.col("tier")).cast("bigint").alias("arrival")), at)
+    source.drop_keys(go.select("key"))
+    return r.select("key", "error", (F.col("error") == "destination exists").alias("ignored"))

@@ -22,8 +22,11 @@ DIM_COLUMNS = [c.split()[0] for c in DIM.split(", ")]
 
 @dataclass
 class Series:
+    """``hinted``: a function of the query may have set the option xFilesFactor."""
+
     dim: DataFrame
     pts: DataFrame
+    hinted: bool = False
 
     @property
     def spark(self) -> SparkSession:
@@ -122,20 +125,46 @@ def union(parts: list[Series]) -> Series:
     """All series one after another; the same series twice stays twice."""
     if len(parts) == 1:
         return parts[0]
+    hinted = any(s.hinted for s in parts)
     dim = pts = None
     for k, s in enumerate(parts):
         sid = F.xxhash64("sid", F.lit(k)).alias("sid")
         d = s.dim.select(sid, "name", (F.col("ordinal") + F.lit(k << 40)).alias("ordinal"), *DIM_COLUMNS[3:])
         p = s.pts.select(sid, "ts", "value")
         dim, pts = (d, p) if dim is None else (dim.unionByName(d), pts.unionByName(p))
-    return Series(dim, pts)
+    return Series(dim, pts, hinted)
+
+
+def factor() -> Column:
+    """The option xFilesFactor of a series; 0 without one."""
+    return F.coalesce(F.element_at("options", F.lit("xFilesFactor")).cast("double"), F.lit(0.0))
+
+
+def consolidated(s: Series, most: int) -> Series:
+    """At most ``most`` points a series: steps side by side become one by the option consolidateBy (average if not set).
+
+    A wider step has a value where the share of known points reaches the option xFilesFactor.
+    """
+    if most < 1:
+        raise ValueError("at least one point is needed")
+    n = F.ceil((F.col("end_time") - F.col("start_time")) / F.col("step") / most)
+    wide = s.dim.withColumn("_n", F.greatest(F.lit(1), F.coalesce(n, F.lit(1))).cast("bigint"))
+    by = F.coalesce(F.element_at("options", F.lit("consolidateBy")), F.lit("average"))
+    rows = s.pts.join(wide.select("sid", "start_time", "step", "_n", by.alias("_by"), factor().alias("_f")), "sid")
+    rows = rows.withColumn("ts_", F.col("start_time") + F.floor((F.col("ts") - F.col("start_time")) / (F.col("step") * F.col("_n"))) * F.col("step") * F.col("_n"))
+    v = F.lit(None).cast("double")
+    for f in FUNCTIONS:
+        v = F.when(F.first("_by") == f, consolidate(f)).otherwise(v)
+    g = rows.groupBy("sid", F.col("ts_").alias("ts")).agg(v.alias("value"), F.count("value").alias("_k"), F.first("_n").alias("_n"), F.first("_f").alias("_f"))
+    pts = g.where((F.col("_k") > 0) & (F.col("_k") >= F.col("_f") * F.col("_n"))).select("sid", "ts", "value")
+    return Series(wide.withColumn("step", F.col("step") * F.col("_n")).select(*s.dim.columns), pts, s.hinted)
 
 
 def header(dim: DataFrame, *by: str) -> DataFrame:
     """The merged header of (groups of) series: latest start, latest end, gcd of the steps."""
     steps = F.array_sort(F.collect_set("step"))
     step = F.aggregate(steps, F.lit(0).cast("bigint"), gcd)
-    return dim.groupBy(*by).agg(F.max("start_time").alias("start_time"), F.max("end_time").alias("end_time"), step.alias("step"), F.min("ordinal").alias("ordinal"), F.count("*").alias("members"))
+    return dim.groupBy(*by).agg(F.max("start_time").alias("start_time"), F.max("end_time").alias("end_time"), step.alias("step"), F.min("ordinal").alias("ordinal"), F.count("*").alias("members"), F.max(factor()).alias("factor"))
 
 
 def shaped(dim: DataFrame) -> DataFrame:
@@ -158,7 +187,9 @@ def combine(s: Series, func: str, name: Column | str, by: Column | None = None,
     else:
         rows = s.pts.join(dim.select("sid", "_g", F.struct("ordinal", "name", "sid").alias("_o")), "sid")
     pts = rows.groupBy("_g", "ts").agg(consolidate(func, "_o" if ordered else "ts").alias("value"), F.count("value").alias("n"))
-    if xff:
-        pts = pts.join(out.select("_g", "members"), "_g").where(F.col("n") >= F.lit(xff) * F.col("members"))
+    if xff or (xff is None and s.hinted):
+        # without a factor of its own, the largest that a member of the group was given
+        need = F.lit(xff) if xff else F.col("factor")
+        pts = pts.join(out.select("_g", "members", "factor"), "_g").where(F.col("n") >= need * F.col("members"))
     name = F.lit(name) if isinstance(name, str) else name
     return Series(shaped(out.where("members > 0").withColumn("name", name)), pts.select(F.xxhash64("_g").alias("sid"), "ts", "value"))

@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import glob
 from tidemark.operators import catalog as cat
-from tidemark.operators import ingest, read, stores
+from tidemark.operators import buffer, ingest, read, stores
 from tidemark.plans.evaluate import evaluate
+from tidemark.plans.frame import consolidated
+from tidemark.sources import lines
+from tidemark.sources import render as sinks
 
 START, NOW, HOUR = 1704067200, 1706659200, 3600
 #: Archives, factor and method of the engine's own tables in these queries.
@@ -128,8 +131,6 @@ _add("fn_divide", f"divideSeries({T},sumSeries({E}))", f"SELECT 'divideSeries('
 _add("fn_divide_lists", f"divideSeriesLists({T},offset({T},1))", "SELECT 'divideSeries(' || name || ',offset(' || name || ',1))' AS name, ts, value / (value + 1) AS value FROM t")
 _add("fn_weighted_average", 'weightedAverage(groupByNode(events.*.*,1,"average"),groupByNode(events.*.*,1,"count"),0)', 'SELECT \'weightedAverage(groupByNode(events.*.*,1,"average"),groupByNode(events.*.*,1,"count"),0)\' AS name, ts, sum(a * n) / sum(n) AS value FROM (SELECT split_part(name, \'.\', 2) AS k, ts, avg(value) AS a, count(*) AS n FROM pts GROUP BY 1, 2) GROUP BY ts')
 _add("fn_is_non_null", f"isNonNull({T})", "SELECT 'isNonNull(' || name || ')' AS name, ts, CASE WHEN value IS NULL THEN 0 ELSE 1 END AS value FROM d")
-_add("fn_pow_series", f"powSeries(scale({T},0.05),scale({T},0.001))", None)
-_add("fn_map_reduce", 'reduceSeries(mapSeries(events.*.*,0),"diffSeries",1,"click","view")', None)
 _add("fn_apply_by_node", 'applyByNode(events.*.*,1,"sumSeries(%.*)","%.total")', "SELECT 'events.' || name || '.total' AS name, ts, value FROM t")
 _add("fn_group", "group(events.click.*,events.view.*)", "SELECT name, ts, value FROM pts WHERE split_part(name, '.', 2) IN ('click', 'view')")
 
@@ -294,13 +295,15 @@ for _m, (_name, _v) in {1: ("avg", "avg(value)"), 2: ("sum", "sum(value)"), 3: (
 query("rollup_xff_gate", f"WITH {BASE}, {SLOTS} SELECT key, 1 AS tier, 86400 AS step, ts - ts % 86400 AS ts, round(sum(value) + 1e-9, 6) AS value FROM slots GROUP BY key, ts - ts % 86400 HAVING count(*) >= 0.0015 * 1440")(lambda spark, sf_dir: _rows(written(spark, sf_dir, 2, 0.0015, "60:31d,86400:365d")).where("tier = 1"))
 
 
-@query("tier_by_age", f"WITH {BASE} SELECT key, ts, CASE WHEN {NOW} - ts <= 432000 THEN 0 WHEN {NOW} - ts <= 1296000 THEN 1 ELSE 2 END AS tier FROM e WHERE {NOW} - ts <= 2160000")
+_AGED = f"SELECT *, CASE WHEN {NOW} - ts <= 432000 THEN 0 WHEN {NOW} - ts <= 1296000 THEN 1 ELSE 2 END AS tier FROM e WHERE {NOW} - ts <= 2160000"
+
+
+@query("tier_by_age", f"""WITH {BASE}, a AS ({_AGED}), p AS (SELECT *, [60, 3600, 86400][tier + 1] AS step FROM a)
+SELECT key, tier, step, ts - ts % step AS ts, round(value + 1e-9, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY key, tier, ts - ts % step ORDER BY ts, arrival DESC) AS rn FROM p) WHERE rn = 1""")
 def tier_by_age(spark, sf_dir):
     p = event_points(spark, sf_dir)
-    c = event_catalog(p, "60:5d,3600:15d,86400:25d")
-    age = F.lit(NOW) - F.col("ts")
-    fits = F.transform("archives", lambda a: a["precision"].cast("bigint") * a["points"] >= age)
-    return p.join(c, "key").select("key", "ts", (F.array_position(fits, F.lit(True)).cast("int") - 1).alias("tier")).where("tier >= 0")
+    c = event_catalog(p, "60:5d,3600:15d,86400:25d").select("key", "archives")
+    return ingest.place(p.join(c, "key"), NOW).select("key", "tier", "step", "ts", rounded("value").alias("value"))
 
 
 @query("read_window_snap", f"WITH {BASE}, {SLOTS} SELECT 'events.view.*' AS query, key AS name, ts, round(value + 1e-9, 6) AS value FROM slots WHERE key LIKE 'events.view.%' AND ts >= {START + 90000 + 35 - (START + 90035) % 60 + 60} AND ts < {NOW - 100 - (NOW - 100) % 60 + 60}")
@@ -314,34 +317,21 @@ def read_missing(spark, sf_dir):
     return written(spark, sf_dir).read(["events.none.u1"], START, NOW, NOW)[0]
 
 
-@query("overlay_read", f"""WITH {BASE}, a AS (SELECT * FROM e WHERE arrival % 2 = 0 AND key LIKE 'events.click.%'), b AS (SELECT * FROM e WHERE arrival % 2 = 1 AND key LIKE 'events.click.%'),
+@query("overlay_read", f"""WITH {BASE}, a AS (SELECT * FROM e WHERE arrival % 2 = 0), b AS (SELECT * FROM e WHERE arrival % 2 = 1),
 stored AS (SELECT key, ts - ts % 3600 AS ts, sum(value) AS value FROM (SELECT key, ts - ts % 60 AS ts, value FROM (SELECT *, row_number() OVER (PARTITION BY key, ts - ts % 60 ORDER BY ts, arrival DESC) AS rn FROM a) WHERE rn = 1) GROUP BY 1, 2),
 top AS (SELECT key, ts - ts % 3600 AS ts, value FROM (SELECT *, row_number() OVER (PARTITION BY key, ts - ts % 3600 ORDER BY ts DESC, arrival DESC) AS rn FROM b WHERE key IN (SELECT key FROM a)) WHERE rn = 1)
-SELECT 'events.click.*' AS query, key AS name, ts, round(value + 1e-9, 6) AS value FROM (SELECT * FROM top UNION ALL SELECT * FROM stored WHERE (key, ts) NOT IN (SELECT (key, ts) FROM top))""")
+SELECT 'events.*.*' AS query, key AS name, ts, round(value + 1e-9, 6) AS value FROM (SELECT * FROM top UNION ALL SELECT * FROM stored WHERE (key, ts) NOT IN (SELECT (key, ts) FROM top))""")
 def overlay_read(spark, sf_dir):
-    return _overlaid(spark, sf_dir, "events.click.*")
-
-
-def _overlaid(spark, sf_dir, pattern):
     p = event_points(spark, sf_dir)
     a, b = p.where("arrival % 2 = 0"), p.where("arrival % 2 = 1")
-    s = stores.Store(event_catalog(a, "60:1d,3600:90d"), spark.createDataFrame([], cat.POINTS))
     # everything is older than a day but for the newest: written finely, then rolled up
-    s.catalog = event_catalog(a, "60:31d,3600:90d")
+    s = stores.Store(event_catalog(a, "60:31d,3600:90d"), spark.createDataFrame([], cat.POINTS))
     s.write(a, NOW)
     s.catalog = event_catalog(a, "60:29d,3600:90d")
-    head, data = s.read([pattern], START - 1, NOW - 1, NOW)
+    head, data = s.read(["events.*.*"], START - 1, NOW - 1, NOW)
     return read.overlay_pending(head, data, b, START - 1, NOW - 1).select("query", "name", "ts", rounded("value").alias("value"))
 
 
-@query("overlay_read_all", f"""WITH {BASE}, a AS (SELECT * FROM e WHERE arrival % 2 = 0), b AS (SELECT * FROM e WHERE arrival % 2 = 1),
-stored AS (SELECT key, ts - ts % 3600 AS ts, sum(value) AS value FROM (SELECT key, ts - ts % 60 AS ts, value FROM (SELECT *, row_number() OVER (PARTITION BY key, ts - ts % 60 ORDER BY ts, arrival DESC) AS rn FROM a) WHERE rn = 1) GROUP BY 1, 2),
-top AS (SELECT key, ts - ts % 3600 AS ts, value FROM (SELECT *, row_number() OVER (PARTITION BY key, ts - ts % 3600 ORDER BY ts DESC, arrival DESC) AS rn FROM b WHERE key IN (SELECT key FROM a)) WHERE rn = 1)
-SELECT 'events.*.*' AS query, key AS name, ts, round(value + 1e-9, 6) AS value FROM (SELECT * FROM top UNION ALL SELECT * FROM stored WHERE (key, ts) NOT IN (SELECT (key, ts) FROM top))""")
-def overlay_read_all(spark, sf_dir):
-    return _overlaid(spark, sf_dir, "events.*.*")
-
-
 RULES = [("events.{click,view}.*", "60:1d", 0.0, "sum"), ("events.**", "300:30d", 0.5, "max"), ("**", "60:90d", 0.0, "average")]
 
 
@@ -352,37 +342,17 @@ def autocreate_rule_match(spark, sf_dir):
     return c.select("key", F.get("archives", F.lit(0))["precision"].alias("step"), F.get("archives", F.lit(0))["points"].alias("points"), "xff", "agg")
 
 
-@query("resample_update", f"""WITH {BASE}, {SLOTS}, f AS (SELECT key, ts, value FROM slots WHERE key LIKE 'events.error.%')
-SELECT key, 0 AS tier, 600 AS step, ts - ts % 600 AS ts, round(value + 1e-9, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY key, ts - ts % 600 ORDER BY ts) AS rn FROM f) WHERE rn = 1""")
-def resample_update(spark, sf_dir):
-    p = event_points(spark, sf_dir).where(F.col("key").startswith("events.error."))
-    s = stores.Store(event_catalog(p, "60:31d"), spark.createDataFrame([], cat.POINTS))
-    s.write(p, NOW)
-    s.update_metadata(event_catalog(p, "600:31d"), cat.UPDATE, now=NOW)
-    return _rows(s)
-
-
-@query("resample_update_all", f"""WITH {BASE}, {SLOTS}
+@query("resample_update", f"""WITH {BASE}, {SLOTS}
 SELECT key, 0 AS tier, 600 AS step, ts - ts % 600 AS ts, round(value + 1e-9, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY key, ts - ts % 600 ORDER BY ts) AS rn FROM slots) WHERE rn = 1""")
-def resample_update_all(spark, sf_dir):
+def resample_update(spark, sf_dir):
     s = written(spark, sf_dir, archives="60:31d")
     s.update_metadata(event_catalog(event_points(spark, sf_dir), "600:31d"), cat.UPDATE, now=NOW)
     return _rows(s)
 
 
 @query("rename_merge", f"""WITH {BASE}, {SLOTS}, one AS (SELECT ts, value FROM slots WHERE key = 'events.click.u1'), two AS (SELECT ts, value FROM slots WHERE key = 'events.click.u2')
-SELECT 'events.click.u2' AS key, 0 AS tier, 60 AS step, ts, round(value + 1e-9, 6) AS value FROM (SELECT * FROM one UNION ALL SELECT * FROM two WHERE ts NOT IN (SELECT ts FROM one))""")
-def rename_merge(spark, sf_dir):
-    p = event_points(spark, sf_dir).where(F.col("key").isin("events.click.u1", "events.click.u2"))
-    s = stores.Store(event_catalog(p, "60:31d"), spark.createDataFrame([], cat.POINTS))
-    s.write(p, NOW)
-    s.rename_series([("events.click.u1", "events.click.u2")], merge=True, now=NOW)
-    return _rows(s)
-
-
-@query("rename_merge_all", f"""WITH {BASE}, {SLOTS}, one AS (SELECT ts, value FROM slots WHERE key = 'events.click.u1'), two AS (SELECT ts, value FROM slots WHERE key = 'events.click.u2')
 SELECT key, 0 AS tier, 60 AS step, ts, round(value + 1e-9, 6) AS value FROM (SELECT 'events.click.u2' AS key, * FROM one UNION ALL SELECT 'events.click.u2', * FROM two WHERE ts NOT IN (SELECT ts FROM one) UNION ALL SELECT key, ts, value FROM slots WHERE key NOT IN ('events.click.u1', 'events.click.u2'))""")
-def rename_merge_all(spark, sf_dir):
+def rename_merge(spark, sf_dir):
     s = written(spark, sf_dir, archives="60:31d")
     s.rename_series([("events.click.u1", "events.click.u2")], merge=True, now=NOW)
     return _rows(s)
@@ -410,3 +380,155 @@ def hash_placement(spark, sf_dir):
 def verify_moves(spark, sf_dir):
     actual = event_points(spark, sf_dir).select("key").distinct().withColumn("store", (F.length("key") % 3).cast("int"))
     return stores.verify(actual, _RING)
+
+
+# the write buffer and stores that share keys
+
+_LATE = f"""{SLOTS.replace("slots AS", "early AS").replace("FROM e)", "FROM e WHERE arrival % 2 = 0)")}, {SLOTS.replace("slots AS", "late AS").replace("FROM e)", "FROM (SELECT key, ts, arg_max(value, arrival) AS value, max(arrival) AS arrival FROM e WHERE arrival % 2 = 1 GROUP BY key, ts))")}"""
+
+
+def _buffered(spark: SparkSession, sf_dir: str, archives: str = "60:31d") -> buffer.BufferedStore:
+    """Even arrivals stored, odd ones queued."""
+    p = event_points(spark, sf_dir)
+    s = stores.Store(event_catalog(p, archives), spark.createDataFrame([], cat.POINTS))
+    s.write(p.where("arrival % 2 = 0"), NOW)
+    out = buffer.BufferedStore(s)
+    out.write(p.where("arrival % 2 = 1"), NOW)
+    return out
+
+
+@query("buffer_flush", f"WITH {BASE}, {_LATE} SELECT key, 0 AS tier, 60 AS step, ts, round(value + 1e-9, 6) AS value FROM (SELECT * FROM late UNION ALL SELECT * FROM early WHERE (key, ts) NOT IN (SELECT (key, ts) FROM late))")
+def buffer_flush(spark, sf_dir):
+    b = _buffered(spark, sf_dir)
+    b.flush(NOW)
+    return _rows(b.store)
+
+
+@query("buffered_read", f"""WITH {BASE}, {_LATE}, top AS (SELECT key, ts - ts % 60 AS ts, arg_max(value, ts) AS value FROM (SELECT key, ts, arg_max(value, arrival) AS value FROM e WHERE arrival % 2 = 1 GROUP BY key, ts) GROUP BY 1, 2)
+SELECT 'events.*.*' AS query, key AS name, ts, round(value + 1e-9, 6) AS value FROM (SELECT * FROM top UNION ALL SELECT * FROM early WHERE (key, ts) NOT IN (SELECT (key, ts) FROM top)) WHERE ts >= {START}""")
+def buffered_read(spark, sf_dir):
+    return _buffered(spark, sf_dir).read(["events.*.*"], START - 1, NOW - 1, NOW)[1].select("query", "name", "ts", rounded("value").alias("value"))
+
+
+@query("find_overlay", f"""WITH {BASE}, {KEYS} SELECT DISTINCT 'events.*' AS pattern, 'events.' || split_part(key, '.', 2) || '.*' AS name, true AS is_directory FROM k
+UNION ALL SELECT 'events.*.u1*', key, false FROM k WHERE regexp_matches(key, '^events\\.[^.]*\\.u1[^.]+$')""")
+def find_overlay(spark, sf_dir):
+    c = event_catalog(event_points(spark, sf_dir))
+    b = buffer.BufferedStore(stores.Store(c.where("key NOT LIKE 'events.click.%'"), spark.createDataFrame([], cat.POINTS)))
+    b.update_metadata(c.where("key LIKE 'events.click.%'"))
+    return b.find(["events.*", "events.*.u1*"])[0]
+
+
+def _ringed(spark: SparkSession, sf_dir: str, archives: str = "60:31d") -> stores.RingStore:
+    none = spark.createDataFrame([], cat.CATALOG), spark.createDataFrame([], cat.POINTS)
+    return stores.RingStore([stores.Store(*none) for _ in PLACES], places=PLACES)
+
+
+@query("routed_read", f"WITH {BASE}, {SLOTS} SELECT 'events.*.*' AS query, key AS name, ts, round(value + 1e-9, 6) AS value FROM slots WHERE ts >= {START} AND ts < {NOW}")
+def routed_read(spark, sf_dir):
+    p = event_points(spark, sf_dir)
+    r = _ringed(spark, sf_dir)
+    r.update_metadata(event_catalog(p, "60:31d"), create_new=True)
+    r.write(p, NOW)
+    return r.read(["events.*.*"], START - 1, NOW - 1, NOW)[1].select("query", "name", "ts", rounded("value").alias("value"))
+
+
+@query("repair", f"{_PLACED}, {SLOTS} SELECT store::INT AS store, key, ts, round(value + 1e-9, 6) AS value FROM slots JOIN placed USING (key)")
+def repair(spark, sf_dir):
+    p = event_points(spark, sf_dir)
+    r = _ringed(spark, sf_dir)
+    for k, s in enumerate(r.stores):
+        own = p.where(F.length("key") % 3 == k)
+        s.update_metadata(event_catalog(own, "60:31d"))
+        s.write(own, NOW)
+    r.verify(repair=True, now=NOW)
+    out = None
+    for k, s in enumerate(r.stores):
+        rows = s.points.select(F.lit(k).alias("store"), "key", "ts", rounded("value").alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+# sources and sinks
+
+
+@query("json_render", f"WITH {BASE} SELECT name, count(*) AS points, min(ts) AS first, max(ts) AS last FROM pts GROUP BY name")
+def json_render(spark, sf_dir):
+    """Every series as its JSON object, read again."""
+    s = evaluate(hourly(spark, sf_dir), E, START - 1, NOW - 1, NOW, HOUR)
+    j = F.from_json("json", "target string, datapoints array<array<double>>")
+    times = F.transform("j.datapoints", lambda p: p[1].cast("bigint"))
+    return sinks.json_targets(s).select(j.alias("j")).select(F.col("j.target").alias("name"), F.size("j.datapoints").cast("bigint").alias("points"), F.array_min(times).alias("first"), F.array_max(times).alias("last"))
+
+
+@query("line_decode", f"WITH {BASE} SELECT key, ts, round(value + 1e-9, 6) AS value FROM e")
+def line_decode(spark, sf_dir):
+    """Every event as a line of text, parsed again."""
+    text = F.concat_ws(" ", "key", F.col("value").cast("string"), F.col("ts").cast("string"))
+    return lines.parse_lines(event_points(spark, sf_dir).select(text.alias("value")), NOW).select("key", "ts", rounded("value").alias("value"))
+
+
+# functions that other rows do not show
+
+_C = "events.click.*"
+_CLICK = "FROM pts WHERE name LIKE 'events.click.%'"
+_add("fn_alias_by_tags", f'aliasByTags({_C},"type",2)', f"SELECT 'click.' || split_part(name, '.', 3) AS name, ts, value {_CLICK}")
+_add("fn_alias_query", f'aliasQuery({_C},"click","view","last %d")', f"SELECT coalesce('last ' || trunc(v)::BIGINT, name) AS name, ts, value FROM pts LEFT JOIN (SELECT replace(name, 'view', 'click') AS name, arg_max(value, ts) AS v FROM pts WHERE name LIKE 'events.view.%' GROUP BY 1) USING (name) WHERE name LIKE 'events.click.%'")
+_add("fn_aggregate_with_wildcards", f'aggregateWithWildcards({E},"max",2)', "SELECT 'events.' || split_part(name, '.', 2) AS name, ts, max(value) AS value FROM pts GROUP BY 1, 2")
+_add("fn_pct", f"pct({T})", "SELECT 'asPercent(' || name || ')' AS name, ts, 100 * value / sum(value) OVER (PARTITION BY ts) AS value FROM t")
+_add("fn_map", f"map({_C},0)", f"SELECT name, ts, value {_CLICK}")
+for _n, _m, _r in (("fn_map_reduce", "mapSeries", "reduceSeries"), ("fn_reduce", "map", "reduce")):
+    _add(_n, f'{_r}({_m}(events.*.*,0),"diffSeries",1,"click","view")', "SELECT 'events.reduce.diffSeries' AS name, ts, 2 * arg_min(value, name) - sum(value) AS value FROM pts WHERE split_part(name, '.', 2) IN ('click', 'view') GROUP BY ts")
+_COUNTED = 'groupByNode(events.{}.*,1,"count")'
+_add("fn_pow_series", f"powSeries(scale({_COUNTED.format('click')},0.5),scale({_COUNTED.format('view')},0.25))", f"SELECT 'powSeries(scale({_COUNTED.format('click')},0.5),scale({_COUNTED.format('view')},0.25))' AS name, ts, CASE WHEN c > 0 AND v > 0 THEN (0.5 * c) ** (0.25 * v) WHEN c > 0 THEN 0.5 * c ELSE 0.25 * v END AS value FROM (SELECT ts, count(*) FILTER (name LIKE 'events.click.%') AS c, count(*) FILTER (name LIKE 'events.view.%') AS v FROM pts WHERE split_part(name, '.', 2) IN ('click', 'view') GROUP BY ts)")
+_add("fn_set_xff", f"sumSeries(setXFilesFactor({_C},0.02))", f"SELECT 'sumSeries(setXFilesFactor({_C},0.02))' AS name, ts, sum(value) AS value {_CLICK} GROUP BY ts HAVING count(*) >= 0.02 * (SELECT count(DISTINCT name) {_CLICK})")
+_add("fn_xff_moving", f"movingSum(xFilesFactor({T},0.9),5)", f"SELECT 'movingSum(' || name || ',5)' AS name, ts, CASE WHEN count(value) OVER {PRIOR} >= 0.9 * 5 THEN sum(value) OVER {PRIOR} END AS value FROM d")
+
+
+def _coarse(target: str, most: int):
+    return lambda spark, sf_dir: consolidated(evaluate(hourly(spark, sf_dir), target, START - 1, NOW - 1, NOW, HOUR), most).result().select("name", "ts", rounded("value").alias("value"))
+
+
+_WIDE = -(-(NOW - START) // HOUR // 100) * HOUR
+for _n, _target, _agg in (("fn_consolidate_by", f'consolidateBy({T},"max")', "max(value)"), ("fn_cumulative", f"cumulative({T})", "sum(value)"), ("fn_consolidated", T, "avg(value)")):
+    query(_n, _sql(f"SELECT name, {START} + (ts - {START}) // {_WIDE} * {_WIDE} AS ts, {_agg} AS value FROM t GROUP BY 1, 2"))(_coarse(_target, 100))
+
+
+def _add_options(name: str, target: str, shown: str, options: str) -> None:
+    def run(spark, sf_dir):
+        s = evaluate(hourly(spark, sf_dir), target, START - 1, NOW - 1, NOW, HOUR)
+        pairs = F.transform(F.array_sort(F.map_entries("options")), lambda x: F.concat(x["key"], F.lit("="), x["value"]))
+        return s.dim.select("name", F.array_join(pairs, ",").alias("options"))
+
+    query(name, f"WITH {BASE} SELECT {shown} AS name, '{options}' AS options FROM (SELECT DISTINCT name {_CLICK})")(run)
+
+
+for _n, _target, _shown, _kv in (
+    ("fn_alpha", f"alpha({_C},0.5)", "name", "alpha=0.5"), ("fn_area_between", f"areaBetween({_C})", "name", "areaBetween=true"), ("fn_color", f'color({_C},"red")', "name", "color=red"),
+    ("fn_dashed", f"dashed({_C},3)", "'dashed(' || name || ',3)'", "dashed=3"), ("fn_draw_as_infinite", f"drawAsInfinite({_C})", "'drawAsInfinite(' || name || ')'", "drawAsInfinite=true"),
+    ("fn_line_width", f"lineWidth({_C},2)", "name", "lineWidth=2"), ("fn_second_y_axis", f"secondYAxis({_C})", "name", "secondYAxis=true"),
+):
+    _add_options(_n, _target, _shown, _kv)
+query("fn_threshold", _sql("SELECT 'limit' AS name, ts, 7.5 AS value FROM grid"))(lambda spark, sf_dir: evaluate(hourly(spark, sf_dir), 'threshold(7.5,"limit","red")', START, NOW, NOW, HOUR).result())
+query("fn_vertical_line", _sql(f"SELECT 'mark' AS name, {START + 7200} AS ts, 1 AS value"))(lambda spark, sf_dir: evaluate(hourly(spark, sf_dir), f'verticalLine({START + 7200},"mark")', START, NOW, NOW, HOUR).result())
+
+# recursive smoothing
+
+ORACLE_SQL["fn_ema"] = _sql("""WITH RECURSIVE r AS (
+SELECT name, 9::BIGINT AS i, avg(value) AS state FROM d WHERE i < 10 GROUP BY name
+UNION ALL SELECT r.name, r.i + 1, CASE WHEN d.value IS NULL THEN r.state WHEN r.state IS NULL THEN d.value ELSE 2.0 / 11 * d.value + (1 - 2.0 / 11) * r.state END FROM r JOIN d ON d.name = r.name AND d.i = r.i + 1)
+SELECT 'exponentialMovingAverage(' || d.name || ',10)' AS name, ts, state AS value FROM r JOIN d ON d.name = r.name AND d.i = r.i WHERE d.value IS NOT NULL OR r.i = 9""")
+#: The level begins at the first value; hours of a day are places 1 to 24 of the two lists.
+_HW = """WITH RECURSIVE hw AS (
+SELECT DISTINCT name, -1::BIGINT AS i, NULL::DOUBLE AS level, 0.0::DOUBLE AS trend, [0.0::DOUBLE for x in range(24)] AS cycle, [0.0::DOUBLE for x in range(24)] AS spread, NULL::DOUBLE AS forecast, 0.0::DOUBLE AS deviation FROM d
+UNION ALL SELECT name, i, l2 AS level, CASE WHEN level IS NULL OR y IS NULL THEN trend ELSE 0.0035 * (l2 - level) + 0.9965 * trend END,
+CASE WHEN level IS NULL OR y IS NULL THEN cycle ELSE list_concat(list_concat(cycle[1:k], [0.1 * (y - l2) + 0.9 * cycle[k + 1]]), cycle[k + 2:24]) END,
+CASE WHEN level IS NULL OR y IS NULL THEN spread ELSE list_concat(list_concat(spread[1:k], [0.1 * abs(y - f) + 0.9 * spread[k + 1]]), spread[k + 2:24]) END, f, CASE WHEN level IS NULL THEN 0.0 ELSE spread[k + 1] END
+FROM (SELECT *, CASE WHEN level IS NULL THEN y WHEN y IS NULL THEN level + trend ELSE 0.1 * (y - cycle[k + 1]) + 0.9 * (level + trend) END AS l2, level + trend + cycle[k + 1] AS f
+FROM (SELECT hw.name, hw.i + 1 AS i, (hw.i + 1) % 24 AS k, d.value AS y, level, trend, cycle, spread FROM hw JOIN d ON d.name = hw.name AND d.i = hw.i + 1))),
+h AS (SELECT hw.name, d.ts, d.value AS y, forecast AS f, 3 * deviation AS w FROM hw JOIN d ON d.name = hw.name AND d.i = hw.i WHERE forecast IS NOT NULL)
+"""
+_BANDS = "SELECT 'holtWintersConfidenceLower(' || name || ')' AS name, ts, f - w AS value FROM h UNION ALL SELECT 'holtWintersConfidenceUpper(' || name || ')', ts, f + w FROM h"
+ORACLE_SQL["fn_holt_winters_forecast"] = _sql(_HW + "SELECT 'holtWintersForecast(' || name || ')' AS name, ts, f AS value FROM h")
+ORACLE_SQL["fn_holt_winters_bands"] = ORACLE_SQL["fn_holt_winters_area"] = _sql(_HW + _BANDS)
+ORACLE_SQL["fn_holt_winters_aberration"] = _sql(_HW + "SELECT 'holtWintersAberration(' || name || ')' AS name, ts, CASE WHEN y > f + w THEN y - f - w WHEN y < f - w THEN y - f + w WHEN y IS NOT NULL THEN 0 END AS value FROM h")

@@ -1,7 +1,7 @@
 """Live ingest: a stream of points written in micro-batches by the batch function.
 
-Each micro-batch becomes a new version of the store, so a restart replays at most the
-batch that was not finished.  Late points re-roll the intervals they touch; points older
+Each micro-batch is one commit that rewrites only the buckets of its keys, so a restart
+replays at most the batch that was not finished.  Late points re-roll the intervals they touch; points older
 than every tier are dropped, as in a batch.
 """
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import tables
+from tidemark.operators.stores import settled
 from tidemark.sources import lines
 
 
@@ -33,10 +34,10 @@ def start(points: DataFrame, path: str, checkpoint: str, rules=(), now: int | No
     def write(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        s = tables.load(batch.sparkSession, path, rules)
         at = now if now is not None else int(batch.agg(F.max(F.unix_seconds(F.current_timestamp()))).first()[0])
-        s.write(batch.select("key", "ts", "value").withColumn("arrival", F.monotonically_increasing_id()), at)
-        tables.save(s, path)
+        # the batch is read twice (its buckets, then its rows) and must number its rows alike
+        rows = settled(batch.select("key", "ts", "value").withColumn("arrival", F.monotonically_increasing_id()))
+        tables.commit(batch.sparkSession, path, rows, at, rules)
 
     w = points.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()
