@@ -6,16 +6,22 @@ from byte-class shares, word shapes and repetition, and weighted by gated attent
     a = softmax over passages of w . (tanh(V h) * sigmoid(U h))
     z = sum a h          score = sigmoid(c . z + b)
 
-Only document labels are needed: the attention learns which passages decide.
+Only document labels are needed: the attention learns which passages decide.  Words
+are learned too: each of ``WORDS`` hash groups has the log odds of standing in good rather
+than bad documents, and a passage carries the mean over its words, the mean of the bad
+ones, and the share of words that were met.  For fitting, one half of the sample is
+encoded with the odds of the other half, so that the net does not trust what it has seen.
 
-Fitting uses a bounded sample: at most ``SAMPLE`` labelled rows a class with texts of
-at most ``SAMPLE_BYTES``, in order of a hash of id and text; the classes are weighted
-back to their shares among the labelled rows.  Scoring reads every whole text.
+Fitting uses a bounded sample: at most ``SAMPLE`` labelled rows and ``SAMPLE_BYTES`` of
+text a class, in order of a hash of the id; the classes are weighted back to their shares
+among the labelled rows.  Scoring reads every whole text.
 
 Defined results: a text without a word is one passage of zeros and is scored like
 any other; with one class or none to learn from, every score is the share of good
 labels (0.5 without labels); a null label is no label; an id labelled twice counts
-as good if one of its rows says so.
+as good if one of its rows says so; repeated rows each give a row; a null id is scored
+and not held out; an empty table gives an empty result; a text of any length is read
+whole, at about 100 bytes a word.
 """
 
 from __future__ import annotations
@@ -34,6 +40,9 @@ SAMPLE = 2000
 SAMPLE_BYTES = 8 << 20
 HIDDEN = 12
 STEPS = 400
+#: Hash groups of words, and the largest log odds of one.
+WORDS = 1 << 16
+ODDS = 3.0
 
 #: Byte classes whose shares are features.
 CLASSES = {
@@ -50,10 +59,30 @@ CLASSES = {
 _CLASS = np.full(256, len(CLASSES), np.int64)
 for _k, _v in enumerate(CLASSES.values()):
     _CLASS[list(_v)] = _k
-FEATURES = len(CLASSES) + 6
+FEATURES = len(CLASSES) + 9
 
 
-def passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _groups(w: textkit.Words) -> np.ndarray:
+    return (w.hash >> np.uint64(64 - WORDS.bit_length() + 1)).astype(np.int64)
+
+
+def word_odds(texts: pa.Array, good: np.ndarray) -> np.ndarray:
+    """Log odds of each hash group, from the number of good and of bad texts that hold it; NaN for groups in fewer than two."""
+    n = np.zeros((2, WORDS))
+    at = 0
+    for b in textkit.slices(pa.record_batch([texts], ["text"])):
+        w = textkit.words(b.column(0), False)
+        pair = np.unique(w.doc * WORDS + _groups(w))
+        y = good[at : at + b.num_rows][pair // WORDS].astype(bool)
+        for k in (0, 1):
+            n[k] += np.bincount(pair[y == bool(k)] % WORDS, minlength=WORDS)
+        at += b.num_rows
+    total = np.maximum(1, [(~good.astype(bool)).sum(), good.astype(bool).sum()])
+    out = np.log((n[1] + 0.5) / (total[1] + 1)) - np.log((n[0] + 0.5) / (total[0] + 1))
+    return np.where(n.sum(0) >= 2, np.clip(out, -ODDS, ODDS), np.nan).astype(np.float32)
+
+
+def passages(texts: pa.Array, odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Features of every passage, and the first passage of each text (one more at the end)."""
     w = textkit.words(texts, False)
     per = np.maximum(1, -(-w.count // PASSAGE))
@@ -95,6 +124,10 @@ def passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         x[:, k + 3] = np.bincount(own[spots], again, len(x)) / np.maximum(1, np.bincount(own[spots], minlength=len(x)))
     x[p, k + 4] = mean(size > 20)
     x[p, k + 5] = np.minimum(words / PASSAGE, 1)
+    known = odds[_groups(w)]
+    met = ~np.isnan(known)
+    known = np.where(met, known, 0.0)
+    x[p, k + 6], x[p, k + 7], x[p, k + 8] = mean(known), mean(np.minimum(known, 0)), mean(met)
     return x, at
 
 
@@ -107,6 +140,7 @@ class Net:
     w: np.ndarray
     c: np.ndarray
     b: float
+    odds: np.ndarray | None = None
 
     def score(self, x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Score of each bag and attention of each passage."""
@@ -161,10 +195,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> Net:
     texts, n = textkit.labelled_sample(docs, labels, "quality", SAMPLE, SAMPLE_BYTES)
     y = np.repeat([0.0, 1.0], [len(t) for t in texts])
     weight = np.concatenate([np.full(len(t), k / max(1, len(t))) for t, k in zip(texts, n, strict=True)])
-    parts = [passages(b.column(0)) for b in textkit.slices(pa.record_batch([pa.concat_arrays(texts)], ["text"]))]
-    x = np.concatenate([np.zeros((0, FEATURES)), *(p for p, _ in parts)])
-    at = np.append(0, np.cumsum(np.concatenate([np.zeros(0, np.int64), *(np.diff(a) for _, a in parts)])))
-    return train(x, at, y, weight, n[1] / sum(n) if sum(n) else 0.5)
+    both = pa.concat_arrays(texts)
+    half = np.arange(len(both)) % 2
+    x, size = [None] * 2, np.zeros(len(both), np.int64)
+    for k in (0, 1):
+        odds = word_odds(both.filter(pa.array(half != k)), y[half != k])
+        parts = [passages(b.column(0), odds) for b in textkit.slices(pa.record_batch([both.filter(pa.array(half == k))], ["text"]))]
+        x[k] = np.concatenate([np.zeros((0, FEATURES)), *(p for p, _ in parts)])
+        size[half == k] = np.concatenate([np.zeros(0, np.int64), *(np.diff(a) for _, a in parts)])
+    own = np.repeat(half, size)
+    rows = np.empty((len(own), FEATURES))
+    for k in (0, 1):
+        rows[own == k] = x[k]
+    net = train(rows, np.append(0, np.cumsum(size)), y, weight, n[1] / sum(n) if sum(n) else 0.5)
+    net.odds = word_odds(both, y)
+    return net
 
 
 def score(docs: DataFrame, net: Net, keep: dict[str, str], threshold: float = 0.3, attention: bool = True) -> DataFrame:
@@ -173,7 +218,7 @@ def score(docs: DataFrame, net: Net, keep: dict[str, str], threshold: float = 0.
     def of(batches):
         for batch in batches:
             for part in textkit.slices(batch):
-                x, at = passages(part.column("text"))
+                x, at = passages(part.column("text"), net.odds)
                 p, a = net.score(x, at)
                 cols = [*(part.column(k) for k in keep), pa.array(p), pa.array((p >= threshold).astype(np.int32))]
                 if attention:
@@ -185,12 +230,16 @@ def score(docs: DataFrame, net: Net, keep: dict[str, str], threshold: float = 0.
 
 
 def keep_good(docs: DataFrame, net: Net, text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose score reaches the threshold, with all their columns."""
+    """The rows of ``docs`` whose score reaches the threshold, with all their columns.
+
+    Null and empty texts are scored like any other; rows with equal ids are judged one by
+    one; an empty table gives an empty result; other columns keep their values and names.
+    """
 
     def of(batches):
         for batch in batches:
             for part in textkit.slices(batch, text):
-                x, at = passages(part.column(text))
+                x, at = passages(part.column(text), net.odds)
                 yield part.filter(pa.array(net.score(x, at)[0] >= threshold))
 
     textkit.bounded_batches(docs.sparkSession)

@@ -69,4 +69,4 @@ def op10_media(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_brown, op3_bpe, op4_langid, op5_license, op5_license_wrapped, op6_toxicity, op7_nearjoin, op8_substring, op9_quality, op10_media)}
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": decontaminate.oracle(), "op5_license": setjoin.oracle(), "op5_license_wrapped": setjoin.wrapped_oracle()}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": decontaminate.oracle(), "op5_license": setjoin.oracle(), "op5_license_wrapped": setjoin.wrapped_oracle(), "op8_substring": substring.oracle()}

@@ -426,3 +426,16 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
 
     rows, fates = _with_fates(docs, doc_id, text, length)
     return rows.select(*names, fates).mapInArrow(textkit.releasing(of), schema)
+
+
+def oracle(length: int = LENGTH) -> str:
+    """DuckDB SQL for the digests of ``documents``: every window, and the smallest document that holds it."""
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + {length}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(len(w) - {length - 1})) AS i FROM d WHERE len(w) >= {length})),
+least AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT win.doc_id, unnest(range(i, i + {length})) AS p FROM win JOIN least USING (s) WHERE m < win.doc_id)),
+each AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS p FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""

@@ -14,15 +14,16 @@ so many different words (copies do not add any) that chance would put it into to
 documents alone with a probability below ``CHANCE``.  The field is then fitted to
 these token labels.
 
-Fitting uses a bounded sample: at most ``SAMPLE`` labelled rows a class with texts of
-at most ``SAMPLE_BYTES``, taken in order of a hash of id and text.  Scoring reads
-every whole text.  The chain is evaluated for all texts of a slice at once: in a two-state chain the
+Fitting uses a bounded sample: at most ``SAMPLE`` labelled rows and ``SAMPLE_BYTES`` of
+text a class, taken in order of a hash of the id.  Scoring reads every whole text.  The chain is evaluated for all texts of a slice at once: in a two-state chain the
 ratio of the forward scores follows a fractional linear map, maps compose as 2x2
 matrices, and runs of tokens are composed first and then joined.
 
 Defined results: a text without a word has score 0 and no span; with no toxic row to
 learn from every score is 0; a null label is no label; an id labelled twice counts
-as toxic if one of its rows says so.
+as toxic if one of its rows says so; repeated rows each give a row; a null id is scored
+and not held out; an empty table gives an empty result; a text of any length is read
+whole, its marginals in parts of ``AT_ONCE`` tokens where texts end.
 """
 
 from __future__ import annotations
@@ -290,7 +291,7 @@ def train(texts: pa.Array, toxic: np.ndarray) -> Field:
         weights -= rate * g / np.sqrt(square)
         trans -= 0.3 * rate * gt / np.sqrt(square_t)
     _calibrate(weights, trans, f, first, doc, toxic)
-    # features never met on a toxic token only ever lower the score: of these keep the bias and the word itself
+    # a feature that stood on no toxic token may lower a score but not raise it
     weights[(seen == 0) & (weights > 0)] = 0
     return Field(weights, trans)
 
