@@ -262,10 +262,13 @@ def test_requests(spark):
     assert kind == "application/json" and '"target":"a.b"' in body and '"target":"sumSeries(a.*)"' in body
     (d,) = pickle.loads(requests.render_reply(s, "target=a.b&format=pickle", T)[1])
     assert d["pathExpression"] == "a.b" and d["step"] == 120
+    assert '"datapoints":[[' in requests.render_reply(s, "target=a.b&maxDataPoints=1", T)[1]
+    kind, body = requests.render_reply(s, "target=a.b&target=constantLine(1)&format=png", T)
+    assert kind == "image/png" and body.startswith(b"\x89PNG") and requests.render_reply(s, "format=png", T)[1].endswith(b"IEND\xaeB`\x82")
     assert requests.time_range(None, None, T) == (T - 3600, T) and requests.time_range("-2h", "-1h", T) == (T - 7200, T - 3600)
     assert requests.find_reply(s, "query=a.%2A&format=json")[1] == '{"a.*": ["a.b"]}' and '"text": "b"' in requests.find_reply(s, "query=a.*")[1]
     assert pickle.loads(requests.find_reply(s, "format=pickle")[1]) == [{"intervals": [], "isLeaf": False, "metric_path": "a"}]
     assert "<a href" in requests.find_reply(s, "query=a.*&format=html")[1]
-    for call in (lambda: requests.render_reply(s, "what=1", T), lambda: requests.render_reply(s, "format=png", T), lambda: requests.find_reply(s, "query=a&query=b"), lambda: requests.find_reply(s, "format=png")):
+    for call in (lambda: requests.render_reply(s, "what=1", T), lambda: requests.render_reply(s, "format=gif", T), lambda: requests.find_reply(s, "query=a&query=b"), lambda: requests.find_reply(s, "format=png")):
         with pytest.raises(requests.RequestError):
             call()

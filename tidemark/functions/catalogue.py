@@ -157,6 +157,9 @@ def _combined(func: str, shown: str):
     return f
 
 
+#: Registered name to (function, shown name) of those that combine all series at each time.
+COMBINERS: dict[str, tuple[str, str]] = {}
+
 for _names, _func, _shown in (
     (("sum", "sumSeries"), "sum", "sumSeries"),
     (("avg", "avgSeries", "averageSeries"), "average", "averageSeries"),
@@ -168,6 +171,7 @@ for _names, _func, _shown in (
     (("diffSeries",), "diff", "diffSeries"),
 ):
     register(*_names)(_combined(_func, _shown))
+    COMBINERS |= {n: (_func, _shown) for n in _names}
 
 
 @register("aggregate")
@@ -222,7 +226,9 @@ def map_series(ctx, call, s, *nodes):
 def reduce_series(ctx, call, s, function, node, *matchers):
     """Call ``function`` once a group, its series as arguments in the order of the matchers.
 
-    The groups' keys are gathered on the driver: the number of groups, not of series, is bounded by what a plan can hold.
+    Functions that combine all series, divisions and percentages are one plan for all
+    groups.  For any other function the groups' keys are gathered on the driver, and their
+    number is bounded by what a plan can hold.
     """
     f, lazy = _function(function)
     if lazy:
@@ -231,6 +237,18 @@ def reduce_series(ctx, call, s, function, node, *matchers):
     dim = s.dim.withColumn("_m", match).where(F.col("_m").isin(list(matchers)))
     prefix = F.coalesce("group_key", F.concat_ws(".", F.slice(_nodes(), 1, int(node))))
     dim = dim.withColumn("_p", prefix)
+    label = F.concat("_p", F.lit(f".reduce.{function}"))
+    if function in COMBINERS:
+        place = F.array_position(F.array(*map(F.lit, matchers)), F.col("_m")) - 1
+        own = dim.withColumn("ordinal", F.col("ordinal") + place * F.lit(1 << 40)).withColumn("group_key", F.col("_p"))
+        own = Series(own.select(*DIM_COLUMNS), s.pts.join(own.select("sid"), "sid", "left_semi"), s.hinted)
+        return combine(own, COMBINERS[function][0], F.concat("_g", F.lit(f".reduce.{function}")), by=F.col("group_key"))
+    if function in ("divideSeries", "asPercent", "pct") and len(matchers) == 2 and matchers[0] != matchers[1]:
+        left, right = (dim.where(F.col("_m") == m) for m in matchers)
+        by = s.pts.join(right.select("sid", "_p"), "sid").groupBy("_p", "ts").agg(F.first("value", True).alias("_d"))
+        rows = s.pts.join(left.select("sid", "_p"), "sid").join(by, ["_p", "ts"], "left")
+        v = F.try_divide("value", "_d") * (1 if function == "divideSeries" else 100)
+        return Series(left.withColumn("name", label).select(*DIM_COLUMNS), rows.select("sid", "ts", v.alias("value")), s.hinted)
     keys = sorted(r[0] for r in dim.select("_p").distinct().collect())
     parts = []
     for k, key in enumerate(keys):
@@ -979,11 +997,26 @@ def transform_null(ctx, call, s, default=0, reference=None):
 
 @register("applyByNode", lazy=True)
 def apply_by_node(ctx, call, node, number, template, new_name=None):
-    """The template evaluated for each distinct prefix; prefixes are gathered on the driver, one sub-plan each."""
+    """The template evaluated for each distinct prefix.
+
+    A template that combines one pattern below the prefix, such as ``sumSeries(%.*)``, is one
+    plan for all prefixes; any other takes a sub-plan a prefix, gathered on the driver.
+    """
     from tidemark.plans.language import parse
 
     s = ctx.evaluate(node)
-    prefix = F.concat_ws(".", F.slice(_nodes(), 1, int(ctx.value(number)) + 1))
+    n = int(ctx.value(number)) + 1
+    prefix = F.concat_ws(".", F.slice(_nodes(), 1, n))
+    m = re.fullmatch(r"(\w+)\(%(\.[^%(),\"']+)\)", ctx.value(template))
+    if m and m[1] in COMBINERS and "**" not in m[2]:
+        func, shown = COMBINERS[m[1]]
+        wanted = s.dim.select(prefix.alias("_g")).distinct()
+        below = ctx.read(".".join(["*"] * n) + m[2])
+        own = below.dim.withColumn("_g", prefix).join(wanted, "_g", "left_semi").drop("_g")
+        name = F.concat(F.lit(f"{shown}("), "_g", F.lit(f"{m[2]})"))
+        if new_name is not None:
+            name = F.replace(F.lit(ctx.value(new_name)), F.lit("%"), F.col("_g"))
+        return combine(below.only(own), func, name, by=prefix)
     keys = sorted(r[0] for r in s.dim.select(prefix.alias("p")).distinct().collect())
     parts = []
     for k in keys:

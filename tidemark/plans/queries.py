@@ -6,6 +6,7 @@ Computed doubles are rounded in both engines, since they add in different orders
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from tidemark.operators import catalog as cat
 from tidemark.operators import buffer, ingest, read, stores
 from tidemark.plans.evaluate import evaluate
 from tidemark.plans.frame import consolidated
-from tidemark.sources import lines
+from tidemark.sources import lines, pickled, ringfile
 from tidemark.sources import render as sinks
 
 START, NOW, HOUR = 1704067200, 1706659200, 3600
@@ -461,6 +462,26 @@ def json_render(spark, sf_dir):
     return sinks.json_targets(s).select(j.alias("j")).select(F.col("j.target").alias("name"), F.size("j.datapoints").cast("bigint").alias("points"), F.array_min(times).alias("first"), F.array_max(times).alias("last"))
 
 
+@query("ring_file_round_trip", f"WITH {BASE} SELECT name AS key, 0 AS tier, 3600 AS step, ts, round(value + 1e-9, 6) AS value FROM pts")
+def ring_file_round_trip(spark, sf_dir):
+    """Every series as a file of rings, read again."""
+    s = hourly(spark, sf_dir)
+    return ringfile.decoded(ringfile.encoded(s.catalog, s.points))[1].select("key", "tier", "step", "ts", rounded("value").alias("value"))
+
+
+@query("pickle_decode", f"WITH {BASE} SELECT key, ts, round(value + 1e-9, 6) AS value FROM e")
+def pickle_decode(spark, sf_dir):
+    """Every event as a framed pickle, decoded again."""
+
+    def frames(batches):
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in ("key", "ts", "value")), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([pickled.encode(list(rows))], pa.binary())], names=["content"])
+
+    blobs = event_points(spark, sf_dir).select("key", "ts", "value").mapInArrow(frames, "content binary")
+    return pickled.parse_pickled(blobs).select("key", "ts", rounded("value").alias("value"))
+
+
 @query("line_decode", f"WITH {BASE} SELECT key, ts, round(value + 1e-9, 6) AS value FROM e")
 def line_decode(spark, sf_dir):
     """Every event as a line of text, parsed again."""

@@ -16,7 +16,9 @@ from tidemark.functions import glob, timeparse
 from tidemark.operators import catalog as cat
 from tidemark.operators import ingest
 from tidemark.plans.evaluate import Context
+from tidemark.plans.frame import consolidated, union
 from tidemark.plans.language import QueryError, parse
+from tidemark.sources import image
 from tidemark.sources import render as sinks
 
 HOUR = 3600
@@ -33,28 +35,31 @@ def time_range(start: str | None, until: str | None, now: int) -> tuple[int, int
 
 
 def render_reply(store, query_string: str, now: int) -> tuple[str, str | bytes]:
-    """``target`` (any number), ``from``, ``until``, ``format`` (json, pickle; json if not given)."""
+    """``target`` (any number), ``from``, ``until``, ``format`` (json, pickle, png; json if not given), ``maxDataPoints``."""
     given: dict[str, str] = {}
     targets = []
     for name, value in parse_qsl(query_string, keep_blank_values=True):
         if name == "target":
             targets.append(value)
-        elif name in ("from", "until", "format"):
+        elif name in ("from", "until", "format", "maxDataPoints"):
             given[name] = value
         elif name not in ("now", "noCache", "local"):
             raise RequestError(f"unknown argument: {name}")
     start, end = time_range(given.get("from"), given.get("until"), now)
     kind = given.get("format", "") or "json"
-    if kind not in ("json", "pickle"):
+    if kind not in ("json", "pickle", "png"):
         raise RequestError(f"unknown format: {kind}")
     ctx, found = Context(store, start, end, now), []
     for t in targets:
         try:
-            found.append((t, ctx.evaluate(parse(t))))
+            s = ctx.evaluate(parse(t))
+            found.append((t, consolidated(s, int(given["maxDataPoints"])) if "maxDataPoints" in given else s))
         except (QueryError, ValueError):  # a wrong target is left out, the others are shown
             continue
     if kind == "json":
         return "application/json", "[" + ",".join(x for _, s in found if (x := sinks.json_document(s)[1:-1])) + "]"
+    if kind == "png":
+        return "image/png", image.png_document(union([s for _, s in found])) if found else image.png(image.np.full((600, 800, 3), 255, image.np.uint8))
     return "application/pickle", pickle.dumps([row for t, s in found for row in pickle.loads(sinks.pickle_document(s, t))], protocol=2)
 
 

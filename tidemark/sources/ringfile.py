@@ -73,7 +73,11 @@ def scan(spark: SparkSession, path: str, root: str = "") -> tuple[DataFrame, Dat
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wsp").load(path)
     below = (root or path).rstrip("/") + "/"
     key = F.regexp_replace(F.regexp_replace(F.element_at(F.split("path", below, 2), -1), r"\.wsp$", ""), "/", ".")
-    src = files.select(key.alias("key"), "content")
+    return _frames(files.select(key.alias("key"), "content"))
+
+
+def _frames(src: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Catalogue and points of files (key, content)."""
 
     def catalog(batches):
         for b in batches:
@@ -101,3 +105,32 @@ def scan(spark: SparkSession, path: str, root: str = "") -> tuple[DataFrame, Dat
                     yield pa.RecordBatch.from_arrays(cols, names=["key", "tier", "step", "ts", "value"])
 
     return src.mapInArrow(catalog, "key string, archives array<struct<precision:int,points:int>>, xff double, agg int"), src.mapInArrow(points, "key string, tier int, step int, ts bigint, value double")
+
+
+def encoded(catalog: DataFrame, points: DataFrame) -> DataFrame:
+    """path (``a/b.wsp`` for key a.b) and content of each series' file; a series without points has empty rings.
+
+    A file has a fixed size, so a row is bounded by its archives.  Of points that fall on
+    one place of a ring the newest stays.
+    """
+    each = points.where("value IS NOT NULL").groupBy("key").agg(F.collect_list(F.struct("tier", "ts", "value")).alias("points"))
+    rows = catalog.join(each, "key", "left").select("key", "archives", "xff", "agg", "points")
+
+    def of(batches):
+        for b in batches:
+            files = []
+            for r in b.to_pylist():
+                archives = [(a["precision"], a["points"]) for a in r["archives"]]
+                own = [[] for _ in archives]
+                for p in sorted(r["points"] or [], key=lambda p: p["ts"]):
+                    own[p["tier"]].append((p["ts"], p["value"]))
+                files.append(encode(archives, r["agg"], r["xff"], own))
+            paths = [f"{k.replace('.', '/')}.wsp" for k in b.column("key").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(files, pa.binary())], names=["path", "content"])
+
+    return rows.mapInArrow(of, "path string, content binary")
+
+
+def decoded(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Catalogue and points of files given as rows (path, content); malformed ones have no rows."""
+    return _frames(files.select(F.regexp_replace(F.regexp_replace("path", r"\.wsp$", ""), "/", ".").alias("key"), "content"))
