@@ -209,6 +209,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Net:
         rows[own == k] = x[k]
     net = train(rows, np.append(0, np.cumsum(size)), y, weight, n[1] / sum(n) if sum(n) else 0.5)
     net.odds = word_odds(both, y)
+    del texts, both, x, rows, own
+    textkit._pow.clear()
+    textkit.free(docs.sparkSession)
     return net
 
 

@@ -222,11 +222,21 @@ def batches_of(spark: SparkSession, rows: int):
         spark.conf.set(_ROWS, have)
 
 
-def free(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more."""
+def trim() -> None:
+    """Give memory that Python has freed back to the system."""
+    import ctypes
     import gc
 
     gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def free(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more, and the driver what such plans took."""
+    trim()
     spark.sparkContext._jvm.System.gc()
 
 
@@ -237,15 +247,8 @@ def releasing(f):
         try:
             yield from f(batches)
         finally:
-            import ctypes
-            import gc
-
             _pow.clear()
-            gc.collect()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            trim()
 
     return g
 

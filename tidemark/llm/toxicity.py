@@ -311,7 +311,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Field:
     """Learn from ``docs`` (doc_id, text) joined with ``labels`` (doc_id, toxic)."""
     labels = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts, _ = textkit.labelled_sample(docs, labels, "toxic", SAMPLE, SAMPLE_BYTES)
-    return train(pa.concat_arrays(texts), np.repeat([False, True], [len(t) for t in texts]))
+    field = train(pa.concat_arrays(texts), np.repeat([False, True], [len(t) for t in texts]))
+    del texts
+    textkit._pow.clear()
+    textkit.free(docs.sparkSession)
+    return field
 
 
 SPANS = "array<struct<start:bigint,end:bigint,text:string,p:double>>"
