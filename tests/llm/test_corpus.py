@@ -67,6 +67,48 @@ def test_near_join_equals_brute_force(docs, rows, chunk, monkeypatch):
     assert got == brute.near(rows)
 
 
+@pytest.mark.parametrize(("chunk", "sets"), [(8 << 20, 1 << 13), (2000, 1 << 13), (8 << 20, 7)])
+def test_near_join_counts_every_link(spark, docs, rows, chunk, sets, monkeypatch):
+    """A text that drifts a word at a time, with copies: neighbours link, distant versions only through others."""
+    monkeypatch.setattr(nearjoin, "CHUNK", chunk)
+    monkeypatch.setattr(nearjoin, "SETS", sets)
+    w, drift = [f"u{i}" for i in range(90)], []
+    for i in range(45):
+        w[(i * 37) % 90] = f"v{i}"
+        drift += [(900_000 + 3 * i + k, " ".join(w)) for k in range(1 + i % 3)]
+    rows = [*rows, *drift]
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(drift, "doc_id long, text string"))
+    of = {d: {tuple(x[i : i + 4]) for i in range(max(1, len(x) - 3))} if x else set() for d, x in ((d, brute.words((t or "").translate(brute.FOLD))) for d, t in rows)}
+    want = {d: sum(e != d and bool(x) and 100 * len(x & y) >= 85 * len(x | y) for e, y in of.items()) for d, x in of.items()}
+    got = nearjoin.classify(df).collect()
+    assert {r.doc_id: r.links for r in got} == want
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near(rows)
+
+
+def test_all_links_equal_pairs_over_many_leaves():
+    rnd = np.random.default_rng(8)
+    sets = []
+    for n in (7, 40, 300):
+        base = np.unique(rnd.integers(0, 2**63, n, dtype=np.uint64))
+        sets += [np.unique(np.append(rnd.permutation(base)[rnd.integers(0, max(2, n // 9)) :], rnd.integers(0, 2**63, rnd.integers(0, 3), dtype=np.uint64))) for _ in range(150)]
+    sets = [sets[i] for i in rnd.permutation(len(sets))]
+    copies = rnd.integers(1, 4, len(sets))
+    link = np.array([[i != j and nearjoin.linked(x, y, 85) for j, y in enumerate(sets)] for i, x in enumerate(sets)])
+    for k in (len(sets), 130):
+        inside = link.copy()
+        if k < len(sets):
+            inside[:k, :k] = inside[k:, k:] = False
+        count, edges = nearjoin.all_links(sets[:k], sets[k:] or None, copies, 85)
+        assert count.tolist() == (inside @ copies).tolist()
+        cls, want = nearjoin.Classes(np.arange(len(sets))), nearjoin.Classes(np.arange(len(sets)))
+        for c, pairs in ((cls, edges), (want, np.argwhere(inside).tolist())):
+            for i, j in pairs:
+                if c.label[i] != c.label[j]:
+                    c.join(i, j)
+        assert sorted(map(sorted, cls.members.values())) == sorted(map(sorted, want.members.values()))
+        assert len(edges) == len(sets) - len(cls.members)
+
+
 @pytest.mark.parametrize("batch", [1, 2, 5])
 def test_candidates_keep_the_tail_of_a_hot_key(batch, monkeypatch):
     monkeypatch.setattr(nearjoin, "MEET", 3)

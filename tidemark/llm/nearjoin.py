@@ -20,12 +20,13 @@ Two documents link when 100 * |x & y| >= PERCENT * |x | y| over distinct word sh
 4. A chunk's sets are joined by a signature tree: leaves hold neighbouring sets, inner
    nodes the OR of their bitmaps, their size range and their least popcount.  A dual
    traversal drops node pairs whose largest possible overlap is too small.  Pairs that
-   are left are compared shingle by shingle, but not when a chain of links already
-   connects them: classes are the result, and a class of n sets takes n - 1 links.
-5. Between the chunks of one block, first a few pivots of the largest class are
-   compared with all its sets; then every set outside the largest class is compared
-   with all chunks.  No link between different texts is lost, and a large class of near
-   copies costs about one comparison a set.
+   are left are compared shingle by shingle.  ``classify`` compares all of them, a pair
+   of leaves at once, and counts every link; each chunk of a block also meets every
+   other chunk, so n unlike near copies of one text take n * n / 2 comparisons.
+5. ``one_of_each`` needs the classes only and compares no pair that a chain of links
+   already connects: a class of n sets takes n - 1 links.  Between the chunks of one
+   block, first a few pivots of the largest class are compared with all its sets; then
+   every set outside the largest class is compared with all chunks.
 
 Shingle hashes have 64 bits; a wrong link needs a collision within two near-equal sets.
 
@@ -44,14 +45,19 @@ from pyspark.sql import functions as F
 from . import components, textkit
 from .textkit import U64
 
+U32 = np.uint32
+
 SHINGLE = 4
 PERCENT = 85
 #: Bytes of shingle hashes in one chunk of a block.
 CHUNK = 8 << 20
+#: Sets in one chunk where every pair is compared.
+SETS = 1 << 13
 #: Sets at one part that are compared by signature; if more meet, all of them are candidates.
 MEET = 100_000
 #: Ids that may be broadcast to fetch texts; beyond, the join shuffles.
 BROADCAST_IDS = 1 << 20
+#: Sets of a leaf; at most 32, as a word of 32 bits names them.
 LEAF = 32
 FAN = 8
 PIVOTS = 8
@@ -199,11 +205,8 @@ class Tree:
         return ok
 
 
-def tree_join(left: list[np.ndarray], right: list[np.ndarray] | None, label: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that join the classes of ``label`` over left (and right) sets; right None: left with itself.
-
-    ``label`` numbers left sets, then right ones; sets of one class are not compared.
-    """
+def _grown(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int):
+    """Trees of both sides (one tree if ``right`` is None), the places of their sets, and the pairs of leaves that can hold a link."""
     sets = left + (right or [])
     largest = max(len(s) for s in sets)
     words = max(1, min(1 << (max(1, 4 * largest // 64 - 1)).bit_length(), (8 << 20) // (8 * len(sets))))
@@ -214,7 +217,6 @@ def tree_join(left: list[np.ndarray], right: list[np.ndarray] | None, label: np.
     t = Tree([sets[i] for i in lo], words)
     u = Tree([sets[i] for i in ro], words) if right is not None else t
     own = right is None
-    links, cls = [], Classes(label.copy())
     depth = max(len(t.levels), len(u.levels))
     for x in (t, u):
         while len(x.levels) < depth:
@@ -233,8 +235,20 @@ def tree_join(left: list[np.ndarray], right: list[np.ndarray] | None, label: np.
     keep = t.may_link(0, a, b, u, percent)
     a, b = a[keep], b[keep]
     near = np.argsort(np.abs(a - b), kind="stable")  # leaves beside each other first: they merge classes early
-    lo, ro = np.array(lo), np.array(ro)
-    for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
+    return t, u, np.array(lo), np.array(ro), a[near], b[near]
+
+
+def tree_join(left: list[np.ndarray], right: list[np.ndarray] | None, label: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join the classes of ``label`` over left (and right) sets; right None: left with itself.
+
+    ``label`` numbers left sets, then right ones; sets of one class are not compared, so
+    these links give the classes and not their number (``all_links`` does).
+    """
+    sets = left + (right or [])
+    t, u, lo, ro, a, b = _grown(left, right, percent)
+    own = right is None
+    links, cls = [], Classes(label.copy())
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
         p, q = np.arange(x * LEAF, min(len(lo), (x + 1) * LEAF)), np.arange(y * LEAF, min(len(ro), (y + 1) * LEAF))
         differ = cls.label[lo[p]][:, None] != cls.label[ro[q]][None, :]
         if own and x == y:
@@ -253,6 +267,67 @@ def tree_join(left: list[np.ndarray], right: list[np.ndarray] | None, label: np.
     return links
 
 
+def _leaf(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of a leaf's sets in order, and for each the sets that hold it, a bit a set."""
+    flat = np.concatenate(sets)
+    bit = np.repeat(U32(1) << np.arange(len(sets), dtype=U32), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    flat = flat[order]
+    at = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+    return flat[at], np.bitwise_or.reduceat(bit[order], at)
+
+
+def _overlaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many hashes each set of one leaf shares with each set of another; ``x``, ``y``: which sets hold each common hash."""
+    out = np.zeros((LEAF, LEAF), np.int64)
+    bits = np.arange(LEAF, dtype=U32)
+    for k in range(0, len(x), 1 << 15):
+        b = [((m[k : k + (1 << 15), None] >> bits) & U32(1)).astype(np.float32) for m in (x, y)]
+        out += (b[0].T @ b[1]).astype(np.int64)
+    return out
+
+
+def all_links(left: list[np.ndarray], right: list[np.ndarray] | None, copies: np.ndarray, percent: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """For each left (and right) set the copies of the sets it links with, and links that join the classes; right None: left with itself.
+
+    Every pair of sets in leaves that can hold a link is compared, whether or not other links connect it.
+    """
+    sets = left + (right or [])
+    t, u, lo, ro, a, b = _grown(left, right, percent)
+    own = right is None
+    count, edges, cls = np.zeros(len(sets), np.int64), [], Classes(np.arange(len(sets)))
+    cut = [{}, {}]
+
+    def leaf(side: int, order: np.ndarray, x: int):
+        if x not in cut[side]:
+            cut[side][x] = _leaf([sets[i] for i in order[x * LEAF : (x + 1) * LEAF].tolist()])
+        return cut[side][x]
+
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        g, h = lo[x * LEAF : (x + 1) * LEAF], ro[y * LEAF : (y + 1) * LEAF]
+        (hx, mx), (hy, my) = leaf(0, lo, x), leaf(0 if own else 1, ro, y)
+        if own and x == y:
+            many = (mx & (mx - U32(1))) != 0
+            both = _overlaps(mx[many], mx[many])
+        else:
+            _, i, j = np.intersect1d(hx, hy, assume_unique=True, return_indices=True)
+            both = _overlaps(mx[i], my[j])
+        both = both[: len(g), : len(h)]
+        size = t.size[x * LEAF : (x + 1) * LEAF][:, None] + u.size[y * LEAF : (y + 1) * LEAF][None, :]
+        link = 100 * both >= percent * (size - both)
+        if own and x == y:
+            np.fill_diagonal(link, False)
+            count[g] += link @ copies[g]
+        else:
+            count[g] += link @ copies[h]
+            count[h] += copies[g] @ link
+        while (new := link & (cls.label[g][:, None] != cls.label[h][None, :])).any():
+            i, j = np.unravel_index(int(new.argmax()), new.shape)
+            edges.append((int(g[i]), int(h[j])))
+            cls.join(*edges[-1])
+    return count, edges
+
+
 def _runs(batches, names: tuple[str, ...]):
     """Rows of sorted batches as lists with equal ``names``; at most one such list is held."""
     key, held = None, []
@@ -308,6 +383,35 @@ def _join_runs(percent: int):
     return of
 
 
+def _count_runs(percent: int):
+    """Rows (block, part, fp, data, role, copies) sorted by block and part: the links among role 0, or of role 1 with role 2.
+
+    Gives (a, b) for links that join the classes, and (fp, null, n) for the copies of the sets that a set links with.
+    """
+
+    def of(batches):
+        for _, t in _runs(batches, ("block", "part")):
+            at = np.unique(np.stack([t["role"].to_numpy().astype(np.int64), t["fp"].to_numpy()], 1), axis=0, return_index=True)[1]
+            if len(at) < 2:
+                continue
+            # in order of the role
+            t = t.take(pa.array(at))
+            role, left = t["role"].to_numpy(), int((t["role"].to_numpy() < 2).sum())
+            # a chunk without sets meets no other one
+            if role[0] and left in (0, len(role)):
+                continue
+            fp, copies, sets = t["fp"].to_numpy(), t["copies"].to_numpy(), _sets(t["data"])
+            count, edges = all_links(sets[:left], sets[left:] if role[0] else None, copies, percent)
+            if edges:
+                a, b = fp[np.array(edges).T]
+                some = np.flatnonzero(count)
+                cols = [np.concatenate([a, fp[some]]), np.concatenate([b, fp[some]]), np.concatenate([np.zeros(len(a), np.int64), count[some]])]
+                told = np.arange(len(cols[0])) >= len(a)
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1], mask=told), pa.array(cols[2], mask=~told)], names=["a", "b", "n"])
+
+    return of
+
+
 def _meet(batches):
     """Rows (key, fp) sorted: those of keys at which two or more sets meet."""
     held = None
@@ -422,12 +526,12 @@ def _candidates(sizes: list[tuple[int, int, int, int]], percent: int):
 
 
 def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and links (spanning links of the class) of every row."""
-    return _classified(docs, doc_id, text, shingle, percent)[0]
+    """doc_id, n_shingles, component_id and links (number of other rows it links with, copies too) of every row."""
+    return _classified(docs, doc_id, text, shingle, percent, True)[0]
 
 
-def _classified(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
-    """As ``classify``, and the written frames that the result is read from."""
+def _classified(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int, count: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """As ``classify``, and the written frames that the result is read from; links are null unless ``count``."""
     spark = docs.sparkSession
     src = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text"))
 
@@ -471,16 +575,17 @@ def _classified(docs: DataFrame, doc_id: str, text: str, shingle: int, percent:
         edges = textkit.written(signed.mapInArrow(textkit.releasing(_candidates(sizes, percent)), "a bigint, b bigint").distinct(), "candidates")
     textkit.drop_written(met)
     textkit.free(spark)
-    blocks = textkit.written(components.components(edges).join(per_set, F.col("node") == F.col("fp")).select("doc_id", "fp", "n", F.col("root").alias("block")), "blocks")
+    blocks = textkit.written(components.components(edges).join(per_set, F.col("node") == F.col("fp")).select("doc_id", "fp", "n", "copies", F.col("root").alias("block")), "blocks")
     textkit.drop_written(edges)
-    links = _links(src, blocks, shingle, percent)
-    root = textkit.written(components.components(links), "classes")
-    degree = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("links"))
+    links = _links(src, blocks, shingle, percent, count)
+    root = textkit.written(components.components(links.select("a", "b")), "classes")
+    # a pair of chunks adds its part to a set's links
+    degree = links.where("n IS NOT NULL").groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("links"))
     classed = per_set.select("fp", "doc_id").join(root.withColumnRenamed("node", "fp"), "fp")
     least = classed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = classed.join(least, "root").join(degree, "fp", "left").select("fp", "component_id", "links")
     of_set = per_set.select("fp", "copies", F.col("doc_id").alias("first")).join(named, "fp", "left")
-    of_set = textkit.written(of_set.select("fp", "copies", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links")), "named")
+    of_set = textkit.written(of_set.select("fp", "copies", F.coalesce("component_id", "first").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1 if count else F.lit(None)).cast("bigint").alias("links")), "named")
     # the copies of one set can be a third of all rows
     own = textkit.joined_by(live.select("doc_id", "n", "fp"), of_set, "fp", "copies").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "links")
     rest = known.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("bigint").alias("links"))
@@ -498,7 +603,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     a word (null and empty texts).  An empty table gives an empty result; other columns keep
     their values, whatever their names.
     """
-    found, held = _classified(docs, doc_id, text, shingle, percent)
+    found, held = _classified(docs, doc_id, text, shingle, percent, False)
     gone = textkit.written(found.where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
     for f in held:
         textkit.drop_written(f)
@@ -507,8 +612,8 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     return docs.join(F.broadcast(gone) if few else gone, docs[doc_id].cast("bigint") == gone["gone"], "left_anti")
 
 
-def _links(src: DataFrame, blocks: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links (a, b) between fingerprints that join each class of the blocks' sets."""
+def _links(src: DataFrame, blocks: DataFrame, shingle: int, percent: int, count: bool) -> DataFrame:
+    """Links (a, b) between fingerprints that join each class of the blocks' sets; with ``count`` also rows (a, null, n) that add up to the copies a set links with."""
     spark = src.sparkSession
 
     def fetch(batches):
@@ -517,17 +622,20 @@ def _links(src: DataFrame, blocks: DataFrame, shingle: int, percent: int) -> Dat
                 sets = doc_sets(textkit.words(part.column("text")), shingle)
                 fp = np.array([fingerprint(s) for s in sets], np.int64)
                 right = np.flatnonzero(fp == part.column("fp").to_numpy())
-                cols = [part.column(c).take(pa.array(right)) for c in ("block", "part", "fp")]
+                cols = [part.column(c).take(pa.array(right)) for c in ("block", "part", "fp", "copies")]
                 data = pa.array([sets[i].tobytes() for i in right.tolist()], pa.binary())
                 zero = pa.array(np.zeros(len(right), np.int32))
-                yield pa.RecordBatch.from_arrays([*cols, data, zero, cols[2]], names=ROW)
-
-    ROW = ["block", "part", "fp", "data", "role", "label"]
-    TYPE = "block bigint, part bigint, fp bigint, data binary, role int, label bigint"
-    chunks = blocks.groupBy("block").agg(F.ceil(F.sum("n") * 8 / CHUNK).cast("int").alias("chunks"))
-    placed = blocks.join(chunks, "block").select(F.col("doc_id").alias("id"), "fp", "block", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("bigint").alias("part"))
+                yield pa.RecordBatch.from_arrays([*cols[:3], data, zero, cols[3 if count else 2]], names=ROW)
+
+    # a set's label where classes are joined, its copies where links are counted
+    last = "copies" if count else "label"
+    ROW = ["block", "part", "fp", "data", "role", last]
+    TYPE = f"block bigint, part bigint, fp bigint, data binary, role int, {last} bigint"
+    size = F.greatest(F.ceil(F.sum("n") * 8 / CHUNK), F.ceil(F.count("*") / SETS)) if count else F.ceil(F.sum("n") * 8 / CHUNK)
+    chunks = blocks.groupBy("block").agg(size.cast("int").alias("chunks"))
+    placed = blocks.join(chunks, "block").select(F.col("doc_id").alias("id"), "fp", "block", "copies", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("bigint").alias("part"))
     few = blocks.count() <= BROADCAST_IDS
-    both = src.join(F.broadcast(placed) if few else placed, F.col("doc_id") == F.col("id")).select("text", "block", "part", "fp")
+    both = src.join(F.broadcast(placed) if few else placed, F.col("doc_id") == F.col("id")).select("text", "block", "part", "fp", "copies")
     rows = both.mapInArrow(textkit.releasing(fetch), TYPE)
     large = chunks.where("chunks > 1")
     split = large.limit(1).count() > 0
@@ -535,8 +643,23 @@ def _links(src: DataFrame, blocks: DataFrame, shingle: int, percent: int) -> Dat
         rows = textkit.written(rows, "chunks")
 
     def joined(r: DataFrame) -> DataFrame:
-        return r.repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(textkit.releasing(_join_runs(percent)), "a bigint, b bigint")
-
+        r = r.repartition("block", "part").sortWithinPartitions("block", "part")
+        if count:
+            return r.mapInArrow(textkit.releasing(_count_runs(percent)), "a bigint, b bigint, n bigint")
+        return r.mapInArrow(textkit.releasing(_join_runs(percent)), "a bigint, b bigint").withColumn("n", F.lit(None).cast("bigint"))
+
+    if count and split:
+        # every chunk of a block meets itself and every later chunk
+        both = large.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("q", F.explode(F.sequence("p", F.col("chunks") - 1)))
+        task = (F.col("p") * F.lit(1 << 31) + F.col("q")).alias("task")
+        role = F.when(F.col("p") == F.col("q"), 0).otherwise(1)
+        sides = both.select("block", F.col("p").cast("bigint").alias("part"), task, role.alias("side"))
+        sides = sides.union(both.where("p < q").select("block", F.col("q").cast("bigint").alias("part"), task, F.lit(2).alias("side")))
+        met = rows.join(sides, ["block", "part"]).select("block", F.col("task").alias("part"), "fp", "data", F.col("side").alias("role"), "copies")
+        alone = rows.join(large.select("block"), "block", "left_anti").select(*ROW)
+        links = textkit.written(joined(met.unionByName(alone)), "links")
+        textkit.drop_written(rows)
+        return links
     links = textkit.written(joined(rows), "links")
     if not split:
         return links
