@@ -335,6 +335,31 @@ def test_brown_base_score_and_distribution(spark, rows, docs, lookup, monkeypatc
     assert sum(r.score for r in got.values()) > sum(r.base_score for r in got.values())
 
 
+def test_brown_classes_do_not_depend_on_the_lookup(spark, monkeypatch):
+    """Words beyond the table stand beside each other; their classes and pairs come by joins and must be the same."""
+    rnd, texts = random.Random(9), []
+    for i in range(500):
+        side = i % 2
+        t = [f"{'ab'[side]}{rnd.randrange(270)}w" for _ in range(60)]
+        for k in range(3, 57, 6):
+            t[k], t[k + 1] = (f"q{'xy'[side]}{s}{rnd.randrange(60)}zz" for s in "mn")
+        texts.append(" ".join(t))
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    models = []
+    for lookup in (1 << 19, brown.HEAD):
+        monkeypatch.setattr(brown, "LOOKUP", lookup)
+        models.append(brown.fit(df))
+    assert len(models[0].known) > len(models[1].known)
+    of = [{r["word"]: (r["n"], r["class"]) for r in m.counts.collect()} for m in models]
+    assert of[0] == of[1]
+    end, pairs = brown.CLASSES - 1, np.zeros((brown.CLASSES, brown.CLASSES))
+    for x in texts:
+        c = [end, *(of[1][h][1] for h in textkit.words(pa.array([x])).hash.view(np.int64).tolist()), end]
+        np.add.at(pairs, (c[:-1], c[1:]), 1)
+    for m in models:
+        assert np.allclose(m.transition, np.log10((pairs + brown.A) / (pairs.sum(1, keepdims=True) + brown.A * brown.CLASSES)), atol=1e-12)
+
+
 def test_brown_without_training_rows(spark):
     df = spark.createDataFrame([(1, "a b"), (None, None)], "doc_id long, text string")
     model = brown.fit(df.limit(0))

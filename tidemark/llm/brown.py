@@ -12,11 +12,11 @@ goes to the class that fits its own left and right counts best, all words at onc
 up to ``PASSES`` passes over the corpus; a pass that lowers the likelihood is undone.
 Only a word that no training text has takes the class of its bucket.
 
-A pass meets a word's neighbours by the class they have: the ``LOOKUP`` most frequent
-words by the class of the pass before, any other by that of its bucket.  The words of
-some megabytes of text go on as one row a word with its packed counts, and the head,
-whose words would be the largest groups, stays where it is.  The class bigrams after a
-pass use every word's own class; pairs of the rarer words meet theirs in joins.
+A pass meets a word's neighbours by the class of the pass before.  For the ``LOOKUP``
+most frequent words a table tells it, and the words of some megabytes of text go on as
+one row a word with its packed counts; the head, whose words would be the largest
+groups, stays where it is.  A rarer neighbour meets its class in a join, in the passes
+as in the class bigrams after them, so the result does not depend on ``LOOKUP``.
 
     P(text) = prod P(class_i | class_{i-1}) * P(word_i | class_i)
     P(d | c) = (n(c, d) + A) / (n(c) + A * classes)
@@ -218,10 +218,11 @@ class Lookup:
 def packed(word: np.ndarray, own: np.ndarray, right: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Distinct words, their own classes, and their neighbours as pairs of bytes: class (left: CLASSES more), count.
 
-    A count above 255 takes several pairs.
+    A count above 255 takes several pairs; a neighbour of class -1 is left out.
     """
     words, at, back = np.unique(word, return_index=True, return_inverse=True)
-    key = np.concatenate([back * (2 * CLASSES) + right, back * (2 * CLASSES) + CLASSES + left])
+    back *= 2 * CLASSES
+    key = np.concatenate([(back + right)[right >= 0], (back + (CLASSES + left))[left >= 0]])
     key.sort()
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     n = np.diff(np.append(first, len(key)))
@@ -235,8 +236,11 @@ def packed(word: np.ndarray, own: np.ndarray, right: np.ndarray, left: np.ndarra
     return words, own[at], near
 
 
-def contexts(docs: DataFrame, lookup: Lookup, head: np.ndarray) -> DataFrame:
-    """word, bucket's class and packed neighbours of the words outside the head, in rows of up to ``TOGETHER`` words of text."""
+def contexts(docs: DataFrame, lookup: Lookup, head: np.ndarray, joined: bool = False) -> DataFrame:
+    """word, bucket's class and packed neighbours of the words outside the head, in rows of up to ``TOGETHER`` words of text.
+
+    Neighbours that ``lookup`` does not know have their bucket's class, or with ``joined`` are left to ``rare_contexts``.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((lookup, head))
     last = CLASSES - 1
 
@@ -253,7 +257,9 @@ def contexts(docs: DataFrame, lookup: Lookup, head: np.ndarray) -> DataFrame:
         for batch in batches:
             for part in textkit.slices(batch):
                 w = textkit.words(part.column("text"))
-                c = lookup.of(w)[1]
+                i, c = lookup.of(w)
+                if joined:
+                    c[i < 0] = -1
                 v, at = _with_ends(w, c, last)
                 keep = np.ones(len(v), bool)
                 keep[at] = False
@@ -270,6 +276,16 @@ def contexts(docs: DataFrame, lookup: Lookup, head: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(textkit.releasing(of), "word bigint, was byte, near binary")
 
 
+def rare_contexts(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """As ``contexts``, the neighbours without a known class, a row each, by their class in ``classes``; ``pairs`` as ``class_bigrams`` keeps them."""
+    right = pairs.where("cb IS NULL AND a IS NOT NULL").select(F.col("b").alias("key"), F.col("a").alias("word"), F.lit(0).alias("side"))
+    left = pairs.where("ca IS NULL AND b IS NOT NULL").select(F.col("a").alias("key"), F.col("b").alias("word"), F.lit(CLASSES).alias("side"))
+    one = F.array(*(F.lit(bytes([k, 1])) for k in range(2 * CLASSES)))
+    of_word = classes.select(F.col("word").alias("key"), "class")
+    # after a first pass ``moved`` does not ask these rows for the class so far
+    return right.union(left).join(of_word, "key").select("word", F.lit(0).cast("byte").alias("was"), F.element_at(one, F.col("side") + F.col("class") + 1).alias("near"))
+
+
 def moved(near: DataFrame, before: DataFrame | None, m: np.ndarray) -> DataFrame:
     """word, n, class: the class that fits a word's neighbours best, its own counts left out of its present class.
 
@@ -331,19 +347,21 @@ def moved(near: DataFrame, before: DataFrame | None, m: np.ndarray) -> DataFrame
         return textkit.written(near.mapInArrow(textkit.releasing(of), "word bigint, n bigint, class int"), "brown-classes")
 
 
-def class_bigrams(docs: DataFrame, classes: DataFrame, known: np.ndarray, known_class: np.ndarray, rare: bool) -> np.ndarray:
+def class_bigrams(docs: DataFrame, classes: DataFrame, known: np.ndarray, known_class: np.ndarray, head: np.ndarray, rare: bool) -> tuple[np.ndarray, DataFrame | None]:
     """CLASSES x CLASSES counts of neighbouring classes; each text starts after an end.
 
     ``classes``: word and class of all training words; ``known`` holds sorted hashes of the
-    frequent ones.  Of a pair with another word, that word's class comes by a join.
+    frequent ones.  Of a pair with another word, that word's class comes by a join; with
+    ``rare`` the written pairs are returned too, where a word is null if it is an end or of
+    the head, and a class is null if it comes by the join.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((known, known_class.astype(np.int8)))
+    shared = spark.sparkContext.broadcast((known, known_class.astype(np.int8), head))
     last = CLASSES - 1
     names = ["a", "b", "ca", "cb", "n"]
 
     def of(batches):
-        known, cls = shared.value
+        known, cls, head = shared.value
         total = np.zeros(CLASSES * CLASSES, np.int64)
         for batch in batches:
             for part in textkit.slices(batch):
@@ -359,7 +377,8 @@ def class_bigrams(docs: DataFrame, classes: DataFrame, known: np.ndarray, known_
                     h = _with_ends(w, w.hash.view(np.int64), 0)[0]
                     a, b = np.append(0, h[:-1])[rest], h[rest]
                     ca, cb = before[rest], c[rest]
-                    cols = [pa.array(a, mask=ca >= 0), pa.array(b, mask=cb >= 0), pa.array(ca.astype(np.int8), mask=ca < 0), pa.array(cb.astype(np.int8), mask=cb < 0), pa.array(np.ones(len(rest), np.int64))]
+                    idle = [(c == last) | (_known(head, x.view(U64)) >= 0) for x, c in ((a, ca), (b, cb))]
+                    cols = [pa.array(a, mask=idle[0]), pa.array(b, mask=idle[1]), pa.array(ca.astype(np.int8), mask=ca < 0), pa.array(cb.astype(np.int8), mask=cb < 0), pa.array(np.ones(len(rest), np.int64))]
                     yield pa.RecordBatch.from_arrays(cols, names=names)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.array((at // CLASSES).astype(np.int8)), pa.array((at % CLASSES).astype(np.int8)), pa.array(total[at])], names=names)
@@ -369,22 +388,20 @@ def class_bigrams(docs: DataFrame, classes: DataFrame, known: np.ndarray, known_
         rows = textkit.written(rows, "brown-pairs")
         of_word = classes.select("word", F.col("class").cast("byte").alias("class"))
         # pairs by the side whose class is still wanted; what shares a key is added up before it is sent
-        lone_a = rows.where("a IS NOT NULL AND b IS NULL").groupBy("a", "cb").agg(F.sum("n").alias("n"))
+        lone_a = rows.where("ca IS NULL AND cb IS NOT NULL").groupBy("a", "cb").agg(F.sum("n").alias("n"))
         lone_a = lone_a.join(of_word, F.col("a") == F.col("word")).select(F.col("class").alias("ca"), "cb", "n")
-        lone_b = rows.where("a IS NULL AND b IS NOT NULL").groupBy("b", "ca").agg(F.sum("n").alias("n"))
+        lone_b = rows.where("ca IS NOT NULL AND cb IS NULL").groupBy("b", "ca").agg(F.sum("n").alias("n"))
         lone_b = lone_b.join(of_word, F.col("b") == F.col("word")).select("ca", F.col("class").alias("cb"), "n")
-        two = rows.where("a IS NOT NULL AND b IS NOT NULL").groupBy("a", "b").agg(F.sum("n").alias("n"))
+        two = rows.where("ca IS NULL AND cb IS NULL").groupBy("a", "b").agg(F.sum("n").alias("n"))
         two = two.join(of_word, F.col("a") == F.col("word")).select(F.col("class").alias("ca"), "b", "n").groupBy("b", "ca").agg(F.sum("n").alias("n"))
         two = two.join(of_word, F.col("b") == F.col("word")).select("ca", F.col("class").alias("cb"), "n")
-        all_ = rows.where("a IS NULL AND b IS NULL").select("ca", "cb", "n").unionByName(lone_a).unionByName(lone_b).unionByName(two)
+        all_ = rows.where("ca IS NOT NULL AND cb IS NOT NULL").select("ca", "cb", "n").unionByName(lone_a).unionByName(lone_b).unionByName(two)
     else:
         all_ = rows.select("ca", "cb", "n")
     cells = all_.groupBy("ca", "cb").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros((CLASSES, CLASSES))
     out[cells["ca"].to_numpy(), cells["cb"].to_numpy()] = cells["n"].to_numpy()
-    if rare:
-        textkit.drop_written(rows)
-    return out
+    return out, rows if rare else None
 
 
 def likelihood(m: np.ndarray) -> float:
@@ -423,9 +440,9 @@ def _least_count(counts: DataFrame) -> int:
     return least if least is not None else 1 << 62
 
 
-def _frequent(classes: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes in order, counts and classes of the words with a count of ``least`` or more."""
-    top = classes.where(F.col("n") >= least).select("word", "n", "class").toArrow()
+def _frequent(classes: DataFrame, least: int, head: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes in order, counts and classes of the words with a count of ``least`` or more, and of the head, whose classes are not the buckets'."""
+    top = classes.where((F.col("n") >= least) | F.col("word").isin(head.view(np.int64).tolist())).select("word", "n", "class").toArrow()
     h, n, c = top["word"].to_numpy().view(U64), top["n"].to_numpy(), top["class"].to_numpy().astype(np.int64)
     order = np.argsort(h)
     return h[order], n[order], c[order]
@@ -455,21 +472,29 @@ def fit(docs: DataFrame) -> Model:
     classes = textkit.written(counts.mapInArrow(textkit.releasing(first), "word bigint, n bigint, class int"), "brown-classes")
     textkit.drop_written(counts)
     own = spark.createDataFrame(pa.table({"word": head.view(np.int64), "n": head_n, "class": of[: len(head)].astype(np.int32)}))
-    known = _frequent(classes, least)
+    known = _frequent(classes, least, head)
+    pairs = None
     for k in range(PASSES if types > len(head) else 0):
-        near = contexts(docs, Lookup(known[0], known[2], of_bucket), head)
+        # before the first pass every rarer word has its bucket's class
+        near = contexts(docs, Lookup(known[0], known[2], of_bucket), head, pairs is not None)
+        if pairs is not None:
+            near = near.unionByName(rare_contexts(pairs, classes))
         rest = moved(near, classes if k else None, m)
         del near
         textkit.free(spark)
         new = rest.unionByName(own)
-        new_known = _frequent(new, least)
-        new_m = class_bigrams(docs, new, new_known[0], new_known[2], types > len(new_known[0]))
+        new_known = _frequent(new, least, head)
+        if pairs is not None:
+            textkit.drop_written(pairs)
+        new_m, pairs = class_bigrams(docs, new, new_known[0], new_known[2], head, types > len(new_known[0]))
         textkit.free(spark)
         if likelihood(new_m) <= likelihood(m):
             textkit.drop_written(rest)
             break
         textkit.drop_written(old if k else classes)
         old, classes, known, m = rest, new, new_known, new_m
+    if pairs is not None:
+        textkit.drop_written(pairs)
     per = classes.groupBy("class").agg(F.count("*").alias("types"), F.sum("n").alias("n")).toArrow()
     count, mass = np.zeros(CLASSES), np.zeros(CLASSES)
     count[per["class"].to_numpy()], mass[per["class"].to_numpy()] = per["types"].to_numpy(), per["n"].to_numpy()
