@@ -522,3 +522,20 @@ def test_pipeline_equals_brute_force(spark, tmp_path, rows):
             ids[d] = (len(x), hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest())
     got = {r.doc_id: (r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == ids and gone
+
+
+def test_toxicity_fit_takes_bounded_memory_a_token():
+    """Keys and features of the sample's tokens are not held together, nor are the steps of all tokens at once."""
+    import tracemalloc
+
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice(["vile", "w1"]) if i % 2 and k % 50 == 9 else f"w{rnd.randrange(3000)}" for k in range(1500)) for i in range(400)]
+    col = pa.array(texts, pa.large_string())
+    tracemalloc.start()
+    try:
+        field = toxicity.train(col, np.arange(400) % 2 == 1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert field.weights.any()
+    assert peak < 200 * 600_000

@@ -251,24 +251,33 @@ def train(texts: pa.Array, toxic: np.ndarray) -> Field:
     """Fit by full-batch adaptive gradient steps on the penalised likelihood."""
     field = Field(np.zeros((1 << BITS) + 2), np.zeros((2, 2)))
     field.weights[0] = -30.0
-    # a slice at a time, so that only what is kept of a token takes memory
-    parts, keys, docs, start = [], [], [], 0
-    for b in textkit.slices(pa.record_batch([texts], ["text"])):
+    # a slice at a time, so that only what is kept of a token takes memory; the keys are
+    # gone before there are features, which take the same room
+    parts = pa.record_batch([texts], ["text"])
+    keys, docs, start = [[] for _ in PREFIXES], [np.zeros(0, np.int64)], 0
+    for b in textkit.slices(parts):
         w = _tokens(b.column(0))
-        parts.append(features(w))
-        keys.append([w.hash, *_affixes(w)[1:-1]] if len(w) else [w.hash] * len(PREFIXES))
+        for k, h in zip(keys, [w.hash, *_affixes(w)[1:-1]] if len(w) else [w.hash] * len(PREFIXES), strict=True):
+            k.append(h)
         docs.append(w.doc + start)
         start += b.num_rows
-    doc = np.concatenate([np.zeros(0, np.int64), *docs])
+    doc = np.concatenate(docs)
+    del docs
     if not toxic.any() or not len(doc):
         return field
-    y = label_tokens([np.concatenate(k) for k in zip(*keys, strict=True)], doc, toxic)
-    del keys, docs
+    for i in range(len(keys)):
+        keys[i] = np.concatenate(keys[i])
+    y = label_tokens(keys, doc, toxic)
+    del keys
+    textkit.trim()
     if not y.any():
         return field
     first = np.append(True, doc[1:] != doc[:-1])
-    f = np.concatenate(parts, 1)
-    del parts
+    f, at = np.empty((len(PREFIXES) + 5, len(doc)), np.int32), 0
+    for b in textkit.slices(parts):
+        w = _tokens(b.column(0))
+        f[:, at : at + len(w)] = features(w)
+        at += len(w)
     size = len(field.weights)
     seen = spread(f, y.astype(float), size)
     weights, trans = np.zeros(size), np.zeros((2, 2))
@@ -281,10 +290,8 @@ def train(texts: pa.Array, toxic: np.ndarray) -> Field:
         emit = weigh(weights, f)
         p, alpha, beta = marginals(emit, first, trans)
         g = spread(f, p - y, size) + 1e-3 * weights
-        e, t = np.exp(np.clip(emit[inner], -40, 40)), np.exp(trans)
-        a, b = alpha[inner - 1], beta[inner]
-        joint = np.stack([np.stack([np.full(len(a), t[0, 0]), t[0, 1] * e * b]), np.stack([a * t[1, 0], a * t[1, 1] * e * b])])
-        gt = (joint / joint.sum((0, 1))).sum(2) - have + 1e-3 * trans
+        gt = _steps(emit, alpha, beta, inner, np.exp(trans)) - have + 1e-3 * trans
+        del emit, p, alpha, beta
         square += g * g
         square_t += gt * gt
         rate = 1.0 if step < STEPS // 2 else 0.5
@@ -296,6 +303,17 @@ def train(texts: pa.Array, toxic: np.ndarray) -> Field:
     return Field(weights, trans)
 
 
+def _steps(emit: np.ndarray, alpha: np.ndarray, beta: np.ndarray, inner: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Expected number of each transition into the tokens ``inner``, ``AT_ONCE`` of them at a time."""
+    out = np.zeros((2, 2))
+    for k in range(0, len(inner), AT_ONCE):
+        i = inner[k : k + AT_ONCE]
+        e, a, b = np.exp(np.clip(emit[i], -40, 40)), alpha[i - 1], beta[i]
+        joint = np.stack([np.stack([np.full(len(a), t[0, 0]), t[0, 1] * e * b]), np.stack([a * t[1, 0], a * t[1, 1] * e * b])])
+        out += (joint / joint.sum((0, 1))).sum(2)
+    return out
+
+
 def _calibrate(weights: np.ndarray, trans: np.ndarray, f: np.ndarray, first: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> None:
     """Move the bias so that one half is the document score that errs least on the sample; a clean text flagged counts as ``CLEAN_COST`` toxic ones missed."""
     p = np.clip(marginals(weigh(weights, f), first, trans)[0], 1e-9, 1 - 1e-9)
