@@ -539,3 +539,19 @@ def test_toxicity_fit_takes_bounded_memory_a_token():
         tracemalloc.stop()
     assert field.weights.any()
     assert peak < 200 * 600_000
+
+
+def test_brown_contexts_take_bounded_memory_a_word():
+    import tracemalloc
+
+    n, rnd = 400_000, np.random.default_rng(2)
+    word, own = rnd.integers(0, 2**63, n // 2, dtype=np.uint64)[rnd.integers(0, n // 2, n)], np.zeros(n, np.int8)
+    right, left = (rnd.integers(-1, brown.CLASSES, n).astype(np.int8) for _ in range(2))
+    tracemalloc.start()
+    try:
+        words, _, near = brown.packed(word, own, right, left)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(words) == len(np.unique(word)) and sum(sum(x[1::2]) for x in near.to_pylist()) == (right >= 0).sum() + (left >= 0).sum()
+    assert peak < 130 * n

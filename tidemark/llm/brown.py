@@ -81,7 +81,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """word (hash), bucket and count over all words of ``text``; pre-added in each task."""
 
     def of(batches):
-        parts, size = [], 0
+        parts, size, most = [], 0, FLUSH
 
         def out():
             h, b, c = _merge(parts)
@@ -93,14 +93,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
             for part in textkit.slices(batch):
                 w = textkit.words(part.column("text"))
                 h, at, c = np.unique(w.hash, return_index=True, return_counts=True)
-                parts.append((h, _bucket(w)[at], c.astype(np.int64)))
+                parts.append((h, _bucket(w)[at].astype(np.int16), c.astype(np.int64)))
                 size += len(h)
-                if size > 4 * FLUSH:
+                if size > most:
                     parts = [_merge(parts)]
                     size = len(parts[0][0])
                     if size > FLUSH:
                         yield from out()
                         parts, size = [], 0
+                    most = max(FLUSH, 2 * size)
         if parts:
             yield from out()
 
@@ -220,9 +221,18 @@ def packed(word: np.ndarray, own: np.ndarray, right: np.ndarray, left: np.ndarra
 
     A count above 255 takes several pairs; a neighbour of class -1 is left out.
     """
-    words, at, back = np.unique(word, return_index=True, return_inverse=True)
-    back *= 2 * CLASSES
-    key = np.concatenate([(back + right)[right >= 0], (back + (CLASSES + left))[left >= 0]])
+    order = np.argsort(word)
+    fresh = np.append(True, np.diff(word[order]) != 0) if len(word) else np.zeros(0, bool)
+    at = order[fresh]
+    words = word[at]
+    # place and class fit into 32 bits unless one text is very long
+    kind = np.int32 if len(words) * 2 * CLASSES < 1 << 31 else np.int64
+    back = np.empty(len(word), kind)
+    back[order] = np.cumsum(fresh, dtype=kind) - 1
+    del order, fresh
+    back *= kind(2 * CLASSES)
+    key = np.concatenate([(back + right)[right >= 0], (back + kind(CLASSES) + left)[left >= 0]])
+    del back
     key.sort()
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     n = np.diff(np.append(first, len(key)))
@@ -249,7 +259,10 @@ def contexts(docs: DataFrame, lookup: Lookup, head: np.ndarray, joined: bool = F
         held, size = [], 0
 
         def out():
-            words, own, near = packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held.clear()
+            words, own, near = packed(*cols)
+            del cols
             for k in range(0, len(words), 1 << 16):
                 s = slice(k, k + (1 << 16))
                 yield pa.RecordBatch.from_arrays([pa.array(words[s].view(np.int64)), pa.array(own[s].astype(np.int8)), near[s]], names=["word", "was", "near"])
@@ -269,7 +282,7 @@ def contexts(docs: DataFrame, lookup: Lookup, head: np.ndarray, joined: bool = F
                 size += len(some)
                 if size > TOGETHER:
                     yield from out()
-                    held, size = [], 0
+                    size = 0
         if size:
             yield from out()
 

@@ -223,11 +223,12 @@ def batches_of(spark: SparkSession, rows: int):
 
 
 def trim() -> None:
-    """Give memory that Python has freed back to the system."""
+    """Give memory that Python and Arrow have freed back to the system."""
     import ctypes
     import gc
 
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # another C library
