@@ -555,3 +555,10 @@ def test_brown_contexts_take_bounded_memory_a_word():
         tracemalloc.stop()
     assert len(words) == len(np.unique(word)) and sum(sum(x[1::2]) for x in near.to_pylist()) == (right >= 0).sum() + (left >= 0).sum()
     assert peak < 130 * n
+
+
+def test_trim_gives_back_what_arrow_freed(monkeypatch):
+    calls = []
+    monkeypatch.setattr(pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: calls.append(1)})())
+    list(textkit.releasing(iter)([1]))
+    assert calls
