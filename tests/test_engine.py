@@ -466,3 +466,12 @@ def test_store_queries_over_all_events_equal_their_sql(spark, name):
     got = sorted(map(tuple, queries.QUERIES[name](spark, sf).collect()))
     key = 1 if name in ("overlay_read", "routed_read") else 0
     assert got == want and len({r[key].split(".")[1] for r in got}) > 1
+
+
+def test_write_deals_rows_out_between_its_steps(spark):
+    """A task that placed, rolled up and laid over at once held the sorts of all steps."""
+    s = stores.Store.empty(spark, [("**", W, 0.0, "sum")])
+    s.write(spark.createDataFrame([("a.b", T, 1.0)], "key string, ts bigint, value double"), T)
+    plan = s.points._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [key#" in plan and plan.count("RepartitionByExpression") >= 3
+    assert {(r.tier, r.value) for r in s.points.collect()} == {(0, 1.0), (1, 1.0)}

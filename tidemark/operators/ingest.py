@@ -79,7 +79,7 @@ def rolled(source: DataFrame, catalog: DataFrame) -> DataFrame:
     slot = (F.col("ts") - F.pmod("ts", F.col("step_j").cast("bigint"))).alias("slot")
     rows = source.join(targets, "key").where("j > tier").select("key", "tier", "step", "j", "step_j", "xff", "agg", slot, "ts", "value", "fresh")
     sums = rows.groupBy("key", "tier", "j", "slot", "step_j", "step", "xff", "agg").agg(F.count("*").alias("known"), F.max("fresh").alias("fresh"), aggregate(F.col("agg"), F.col("value"), F.col("ts")).alias("value"))
-    sums = sums.where("fresh").withColumn("ok", F.col("known") >= F.col("xff") * (F.col("step_j") / F.col("step")))
+    sums = sums.where("fresh").withColumn("ok", F.col("known") >= F.col("xff") * (F.col("step_j") / F.col("step"))).repartition("key", "tier")
     # a tier goes on only if every tier before it stored something
     any_ok = F.max(F.col("ok").cast("int")).over(Window.partitionBy("key", "tier", "j"))
     before = F.min("any").over(Window.partitionBy("key", "tier").orderBy("j").rangeBetween(Window.unboundedPreceding, -1))
@@ -108,7 +108,8 @@ def write(catalog: DataFrame, points: DataFrame, batch: DataFrame, rules: list[R
     known = keys.join(new_catalog.select("key", F.lit(True).alias("_k")), "key", "left")
     error = F.when(~valid, "key contains invalid characters").when(F.col("_k").isNull(), "series does not exist").otherwise("")
     results = known.select("key", error.alias("error"), (~valid).alias("ignored"))
-    placed = place(batch.join(new_catalog.select("key", "archives"), "key"), now, conflict)
+    # dealt out anew between the steps: no task holds the sorts of all of them, and placed rows are computed once for all that read them
+    placed = place(batch.join(new_catalog.select("key", "archives"), "key"), now, conflict).repartition("key", "tier", "ts")
     # written tiers of the touched keys only: a roll-up never reads other series
     old = points.join(placed.select("key").distinct(), "key", "left_semi")
     up = rolled(overlay(placed, old), new_catalog)
