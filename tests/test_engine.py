@@ -475,3 +475,18 @@ def test_write_deals_rows_out_between_its_steps(spark):
     plan = s.points._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [key#" in plan and plan.count("RepartitionByExpression") >= 3
     assert {(r.tier, r.value) for r in s.points.collect()} == {(0, 1.0), (1, 1.0)}
+
+
+def test_files_and_frames_go_to_python_in_bounded_batches(spark):
+    rows = [(f"a.k{i}", T - T % 60, float(i)) for i in range(600)]
+    blobs = spark.createDataFrame([(pickled.encode(rows[:300]) + pickled.encode(rows[300:]),)], "content binary")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    out = pickled.parse_pickled(blobs)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 256
+    assert {tuple(r) for r in out.collect()} == set(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    catalog = spark.createDataFrame([(k, [(60, 1440)], 0.0, 2) for k, _, _ in rows], cat.CATALOG)
+    points = spark.createDataFrame([(k, 0, 60, t, v) for k, t, v in rows], cat.POINTS)
+    found, back = ringfile.decoded(ringfile.encoded(catalog, points))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 256
+    assert {(r.key, r.ts, r.value) for r in back.collect()} == set(rows) and found.count() == 600

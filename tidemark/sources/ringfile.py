@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import timeparse
+from tidemark.sources import batches as bounds
 
 HEADER, ARCHIVE = struct.Struct(">IIfI"), struct.Struct(">III")
 SLOT = np.dtype([("ts", ">u4"), ("value", ">f8")])
@@ -76,15 +77,24 @@ def scan(spark: SparkSession, path: str, root: str = "") -> tuple[DataFrame, Dat
     return _frames(files.select(key.alias("key"), "content"))
 
 
+def _rows(held: list[tuple[str, int, int, np.ndarray]]) -> pa.RecordBatch:
+    """Points of rings given as (key, tier, step, slots)."""
+    key, tier, step, slots = zip(*held, strict=True)
+    count = np.array([len(s) for s in slots])
+    own = np.concatenate(slots)
+    cols = [pa.array(key, pa.string()).take(pa.array(np.repeat(np.arange(len(key)), count))), *(pa.array(np.repeat(np.array(x, np.int32), count)) for x in (tier, step))]
+    return pa.RecordBatch.from_arrays([*cols, pa.array(own["ts"].astype(np.int64)), pa.array(own["value"].astype(np.float64))], names=["key", "tier", "step", "ts", "value"])
+
+
 def _frames(src: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Catalogue and points of files (key, content)."""
 
     def catalog(batches):
         for b in batches:
             rows = []
-            for k, data in zip(b.column("key").to_pylist(), b.column("content").to_pylist(), strict=True):
+            for k, data in zip(b.column("key").to_pylist(), b.column("content"), strict=True):
                 try:
-                    m, _ = decode(data)
+                    m, _ = decode(data.as_py())
                 except FormatError:
                     continue
                 rows.append({"key": k, "archives": [{"precision": s, "points": n} for s, n in m["archives"]], "xff": m["xff"], "agg": m["agg"]})
@@ -93,17 +103,23 @@ def _frames(src: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def points(batches):
         for b in batches:
-            for k, data in zip(b.column("key").to_pylist(), b.column("content").to_pylist(), strict=True):
+            held, n = [], 0
+            for k, data in zip(b.column("key"), b.column("content"), strict=True):
                 try:
-                    m, rings = decode(data)
+                    m, rings = decode(data.as_py())
                 except FormatError:
                     continue
                 for tier, ((step, _), ring) in enumerate(zip(m["archives"], rings, strict=True)):
                     own = ring[(ring["ts"] != 0) & ~np.isnan(ring["value"])]
-                    n = len(own)
-                    cols = [pa.array([k] * n, pa.string()), pa.array(np.full(n, tier, np.int32)), pa.array(np.full(n, step, np.int32)), pa.array(own["ts"].astype(np.int64)), pa.array(own["value"].astype(np.float64))]
-                    yield pa.RecordBatch.from_arrays(cols, names=["key", "tier", "step", "ts", "value"])
-
+                    held.append((k.as_py(), tier, step, own))
+                    n += len(own)
+                if n >= bounds.POINTS:
+                    yield _rows(held)
+                    held, n = [], 0
+            if held:
+                yield _rows(held)
+
+    bounds.bounded(src.sparkSession)
     return src.mapInArrow(catalog, "key string, archives array<struct<precision:int,points:int>>, xff double, agg int"), src.mapInArrow(points, "key string, tier int, step int, ts bigint, value double")
 
 
@@ -116,18 +132,31 @@ def encoded(catalog: DataFrame, points: DataFrame) -> DataFrame:
     each = points.where("value IS NOT NULL").groupBy("key").agg(F.collect_list(F.struct("tier", "ts", "value")).alias("points"))
     rows = catalog.join(each, "key", "left").select("key", "archives", "xff", "agg", "points")
 
+    def made(b):
+        files = []
+        for r in b.to_pylist():
+            archives = [(a["precision"], a["points"]) for a in r["archives"]]
+            own = [[] for _ in archives]
+            for p in sorted(r["points"] or [], key=lambda p: p["ts"]):
+                own[p["tier"]].append((p["ts"], p["value"]))
+            files.append(encode(archives, r["agg"], r["xff"], own))
+        paths = [f"{k.replace('.', '/')}.wsp" for k in b.column("key").to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(files, pa.binary())], names=["path", "content"])
+
     def of(batches):
         for b in batches:
-            files = []
-            for r in b.to_pylist():
-                archives = [(a["precision"], a["points"]) for a in r["archives"]]
-                own = [[] for _ in archives]
-                for p in sorted(r["points"] or [], key=lambda p: p["ts"]):
-                    own[p["tier"]].append((p["ts"], p["value"]))
-                files.append(encode(archives, r["agg"], r["xff"], own))
-            paths = [f"{k.replace('.', '/')}.wsp" for k in b.column("key").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(files, pa.binary())], names=["path", "content"])
-
+            at = 0
+            # files have the size of their archives, whatever they hold
+            size = [sum(SLOT.itemsize * a["points"] for a in x.as_py()) for x in b.column("archives")]
+            while at < b.num_rows:
+                n, total = 1, size[at]
+                while at + n < b.num_rows and total + size[at + n] <= bounds.BATCH_BYTES:
+                    total += size[at + n]
+                    n += 1
+                yield made(b.slice(at, n))
+                at += n
+
+    bounds.bounded(catalog.sparkSession)
     return rows.mapInArrow(of, "path string, content binary")
 
 
