@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import catalogue, glob, smoothing, timeparse
 from tidemark.operators import catalog as cat
 from tidemark.operators import ingest, read, stores, tables
+from tidemark.plans import frame
 from tidemark.plans.evaluate import evaluate, render
 from tidemark.plans.language import Call, Const, QueryError, Ref, parse, references
 from tidemark.sources import lines, pickled, render as sinks, ringfile
@@ -490,3 +491,13 @@ def test_files_and_frames_go_to_python_in_bounded_batches(spark):
     found, back = ringfile.decoded(ringfile.encoded(catalog, points))
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 256
     assert {(r.key, r.ts, r.value) for r in back.collect()} == set(rows) and found.count() == 600
+
+
+def test_filters_do_not_see_the_order_of_adding(spark):
+    """0.1 + 0.2 + 0.3 is 0.6000000000000001 or 0.6; their average is 0.2 and not above it."""
+    dim = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "sid bigint, name string").withColumns({"start_time": F.lit(0), "end_time": F.lit(3), "step": F.lit(1)})
+    pts = spark.createDataFrame([(1, i, v) for i, v in enumerate((0.1, 0.2, 0.3))] + [(2, 0, 0.2000001), (3, 0, float("inf"))], "sid bigint, ts bigint, value double")
+    s = frame.Series(frame.shaped(dim), pts)
+    got = {op: {r.name for r in catalogue._filtered(s, "average", op, 0.2).dim.collect()} for op in (">", ">=", "=", "<")}
+    assert got == {">": {"b", "c"}, ">=": {"a", "b", "c"}, "=": {"a"}, "<": set()}
+    assert {r.name for r in catalogue._filtered(s, "sum", "=", 0.6).dim.collect()} == {"a"}

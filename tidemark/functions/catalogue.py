@@ -520,7 +520,10 @@ OPERATORS = {"=": lambda a, b: a == b, "!=": lambda a, b: a != b, ">": lambda a,
 def _filtered(s: Series, func: str, op: str, n: float) -> Series:
     if op not in OPERATORS:
         raise QueryError(f"unknown operator {op!r}")
-    return s.only(s.stats(func).where(OPERATORS[op](F.col("stat"), F.lit(float(n)))))
+    stat, n = F.col("stat"), F.lit(float(n))
+    # the last bits of a sum depend on the order of adding: what differs from n by no more than that is n
+    near = F.abs(stat - n) < F.lit(1e-12) * F.greatest(F.abs(stat), F.abs(n))
+    return s.only(s.stats(func).where(OPERATORS[op](F.when(near, n).otherwise(stat), n)))
 
 
 @register("filterSeries")
